@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
-from lodestone.llm import packing, sentencepiece_bpe, sharding
+from lodestone.llm import language, packing, quality, sentencepiece_bpe, sharding, simhash, topk, warc
 
 QUERIES = {
     "op1_packing": packing.query,
+    "op3_simhash": simhash.query,
     "op4_sharding": sharding.query,
     "op5_sentencepiece": sentencepiece_bpe.query,
+    "op6_warc": warc.query,
+    "op7_topk": topk.query,
+    "op8_quality": quality.query,
+    "op9_language": language.query,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op7_topk": topk.ORACLE, "op8_quality": quality.oracle_sql()}
