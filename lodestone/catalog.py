@@ -11,7 +11,7 @@ from pyspark.sql.window import Window
 from lodestone import ontology
 from lodestone.functions import evaluation, text
 from lodestone.operators import iterative, relational, sets
-from lodestone.plans import router
+from lodestone.plans import context, router
 from lodestone.sources.tables import WITH, graph, table
 from lodestone.streaming import events
 
@@ -301,10 +301,10 @@ def _trace(ev):
 
 
 @on_tables("episode_supersession", "events", """WITH e AS (SELECT event_id AS id, lag(event_id) OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS supersedes FROM events)
-SELECT id, supersedes, id NOT IN (SELECT supersedes FROM e WHERE supersedes IS NOT NULL) AS active FROM e""")
+SELECT id, coalesce(supersedes, -1) AS supersedes, id NOT IN (SELECT supersedes FROM e WHERE supersedes IS NOT NULL) AS active FROM e""")
 def _supersede(ev):
     by = Window.partitionBy("user_id", "event_type").orderBy("ts", "event_id")
-    return sets.superseded(ev.select(F.col("event_id").alias("id"), F.lag("event_id").over(by).alias("supersedes")))
+    return sets.superseded(ev.select(F.col("event_id").alias("id"), F.lag("event_id").over(by).alias("supersedes"))).withColumn("supersedes", F.coalesce("supersedes", F.lit(-1).cast("long")))
 
 
 @on_tables("event_tumbling", "events", "SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n, round_even(sum(value), 4) AS total FROM events GROUP BY ALL")
@@ -421,13 +421,14 @@ def _ranking(lineitem):
     return evaluation.ranking(lineitem.select(F.col("l_orderkey").alias("query"), rank.alias("rank"), F.when(F.col("l_returnflag") == "R", 1).otherwise(0).alias("relevant")))
 
 
-@on_tables("coverage_auc", "lineitem", """WITH o AS (SELECT l_orderkey AS query, l_linenumber AS rank, l_quantity AS width, CASE WHEN l_returnflag = 'N' THEN l_quantity ELSE 0 END AS covered FROM lineitem WHERE l_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'N')),
+@on_tables("coverage_auc", "lineitem", """WITH o AS (SELECT l_orderkey AS query, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS rank, l_quantity AS width, CASE WHEN l_returnflag = 'N' THEN l_quantity ELSE 0 END AS covered FROM lineitem WHERE l_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'N')),
 c AS (SELECT *, sum(covered) OVER (PARTITION BY query ORDER BY rank ROWS UNBOUNDED PRECEDING) AS y, sum(width) OVER (PARTITION BY query ORDER BY rank ROWS UNBOUNDED PRECEDING) AS x FROM o)
 SELECT query, round_even(sum(width * (2 * y - covered) / 2) / max(x * y), 6) AS auc FROM c GROUP BY query""")
 def _auc(lineitem):
     some = lineitem.filter("l_returnflag = 'N'").select("l_orderkey").distinct()
     rows = lineitem.join(some, "l_orderkey", "left_semi")
-    return evaluation.coverage_auc(rows.select(F.col("l_orderkey").alias("query"), F.col("l_linenumber").alias("rank"), F.col("l_quantity").alias("width"), F.when(F.col("l_returnflag") == "N", F.col("l_quantity")).otherwise(0.0).alias("covered")))
+    rank = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"))
+    return evaluation.coverage_auc(rows.select(F.col("l_orderkey").alias("query"), rank.alias("rank"), F.col("l_quantity").alias("width"), F.when(F.col("l_returnflag") == "N", F.col("l_quantity")).otherwise(0.0).alias("covered")))
 
 
 @on_tables("stratified_grouping_sets", "orders", "SELECT coalesce(o_orderstatus, '*') AS a, coalesce(o_orderpriority, '*') AS b, count(*) AS n, round_even(avg(o_totalprice), 4) AS mean FROM orders GROUP BY CUBE (o_orderstatus, o_orderpriority)")
@@ -449,3 +450,34 @@ _ARMS = " ".join(f"WHEN s{i} = {_TOP} THEN '{c}'" for i, (c, _) in enumerate(_RO
 @on_tables("route_bulk", "conversations", f"SELECT conv_id, turn, CASE WHEN {_TOP} = 0 THEN 'unknown' {_ARMS} END AS route FROM (SELECT conv_id, turn, {_SIG} FROM conversations)")
 def _route(conversations):
     return router.bulk(conversations, "text").select("conv_id", "turn", "route")
+
+
+def _lpa_sql(rounds: int) -> str:
+    parts = [f"{LIVE}, w AS (SELECT source, target, round_even({TV}, 6)::DECIMAL(20,6) AS tv FROM le), b AS MATERIALIZED (SELECT source, target, sum(tv) AS tv FROM (SELECT * FROM w UNION ALL SELECT target, source, tv FROM w) WHERE tv > 0 GROUP BY ALL), l0 AS (SELECT id, id AS label FROM ln)"]
+    for i in range(rounds):
+        parts.append(f"v{i} AS (SELECT source AS id, label, row_number() OVER (PARTITION BY source ORDER BY sum(tv) DESC, label) AS n FROM b JOIN l{i} ON id = target GROUP BY source, label), l{i + 1} AS MATERIALIZED (SELECT l.id, coalesce(v.label, l.label) AS label FROM l{i} l LEFT JOIN v{i} v ON v.id = l.id AND v.n = 1)")
+    return ", ".join(parts) + f" SELECT * FROM l{rounds}"
+
+
+@on_graph("label_propagation_sync", _lpa_sql(3))
+def _lpa(g):
+    return iterative.label_propagation(g, 3)
+
+
+_LEX = ["urgent", "1", "building", "class"]
+_LABEL = "string_split_regex(lower(label), '[^a-z0-9]+')"
+_PATH = "string_split_regex(lower(path), '[^a-z0-9]+')"
+_OWN = [f"(CASE WHEN lower(id) = '{q}' THEN 8 ELSE 0 END + CASE WHEN lower(label) = '{q}' THEN 12 WHEN list_contains({_LABEL}, '{q}') THEN 4 ELSE 0 END + CASE WHEN lower(path) = '{q}' THEN 8 WHEN list_contains({_PATH}, '{q}') THEN 3 ELSE 0 END + CASE WHEN lower(kind) = '{q}' THEN 2 ELSE 0 END)" for q in _LEX]
+_SEGMENTS = r"least(3, 0.5 * greatest(len(list_filter(string_split(regexp_replace(regexp_replace(label, '([a-z0-9])([A-Z])', '\1_\2', 'g'), '[^A-Za-z0-9]+', '_', 'g'), '_'), lambda x: x <> '')) - 1, 0))"
+
+
+@on_graph("lexical_score_topk", f"""s AS (SELECT id, path, label, round_even(({" + ".join(_OWN)})::DOUBLE * (0.5 + ({" + ".join(f"({o} > 0)::INT" for o in _OWN)}) / {len(_LEX)}) + {_SEGMENTS}, 4) AS score FROM nodes WHERE active AND ({" + ".join(_OWN)}) > 0)
+SELECT id, score FROM s ORDER BY score DESC, path, label, id LIMIT 100""")
+def _lexical(g):
+    return context.search(g, _LEX, 100).select("id", "score")
+
+
+@on_graph("khop_budgeted", None)
+def _khop(g):
+    ids, edges = context.expand(g, ["customer:1"], 2, 80)
+    return edges.select("source", "target", "type")

@@ -49,7 +49,11 @@ def document_frequency(docs: DataFrame) -> DataFrame:
 
 def bm25(docs: DataFrame, terms: list[str], k: int) -> DataFrame:
     """The k best documents for the query terms. Term counts stay in the row; only totals cross a shuffle."""
-    low = docs.select("doc_id", tokens(F.col("text")).alias("t")).select("doc_id", F.size("t").alias("len"), *(F.size(F.filter("t", lambda x, q=q: x == q)).alias(f"f{i}") for i, q in enumerate(terms)))
+
+    def frequency(term: str) -> Column:
+        return F.size(F.filter("t", lambda x: x == F.lit(term)))
+
+    low = docs.select("doc_id", tokens(F.col("text")).alias("t")).select("doc_id", F.size("t").alias("len"), *(frequency(q).alias(f"f{i}") for i, q in enumerate(terms)))
     stats = low.agg(F.count("*").alias("n"), F.avg("len").alias("avgdl"), *(F.count_if(F.col(f"f{i}") > 0).alias(f"d{i}") for i in range(len(terms))))
     norm = K1 * (1 - B + B * F.col("len") / F.greatest(F.col("avgdl"), F.lit(1e-9)))
     score = F.lit(0.0)

@@ -102,3 +102,21 @@ def best_paths(g: Graph, root: str, hops: int, widest: bool = False) -> DataFram
         best = F.max("value") if widest else F.min("value")
         state = checkpoint(state.unionByName(moved).groupBy("id").agg(best.alias("value")))
     return state
+
+
+def label_propagation(g: Graph, rounds: int = 3) -> DataFrame:
+    """(id, label) after synchronous rounds: the label with the most traversal value around a node, ties to the smaller.
+
+    The synchronous variant of the sequential sweep: every node sees the labels of the round before, so
+    its results differ from a sweep in id order where labels would travel within a round.
+    """
+    live = g.live
+    w = live.edges.select("source", "target", F.bround(traversal_value(), 6).cast("decimal(20,6)").alias("tv")).filter("tv > 0")
+    both = w.unionByName(w.select(F.col("target").alias("source"), F.col("source").alias("target"), "tv"))
+    around = checkpoint(both.groupBy("source", "target").agg(F.sum("tv").alias("tv")))
+    labels = live.nodes.select("id", F.col("id").alias("label"))
+    for _ in range(rounds):
+        votes = around.join(labels, around["target"] == labels["id"]).groupBy(F.col("source").alias("id"), "label").agg(F.sum("tv").alias("tv"))
+        won = votes.groupBy("id").agg(F.min(F.struct((-F.col("tv")).alias("k"), "label")).alias("w")).select("id", F.col("w.label").alias("next"))
+        labels = checkpoint(labels.join(won, "id", "left").select("id", F.coalesce("next", "label").alias("label")))
+    return labels
