@@ -176,18 +176,21 @@ def held_out(doc_id: int) -> bool:
 def fit(docs: DataFrame) -> tuple[CrossParser, Reducer] | None:
     """A parser from labelled rows that aren't held out; None if there are none.
 
-    TRAIN_ROWS rows per language, in the order of a hash of the text, are fetched, each cut to
-    TRAIN_CHARS / 20 characters; this bounded sample fits the classifier and nothing else.
+    Whole distinct texts per language are fetched in the order of their hash, TRAIN_ROWS at most and until
+    they hold TRAIN_CHARS + RATE_CHARS characters; this bounded sample fits the classifier and nothing
+    else.  The number of languages is assumed to be small.
     """
     held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1
     rows = docs.filter("doc_id IS NOT NULL AND lang IS NOT NULL AND text IS NOT NULL AND text <> ''").filter(~held)
-    rows = rows.select("lang", F.xxhash64("text").alias("h"), F.substring("text", 1, TRAIN_CHARS // 20).alias("text"))
-    first = Window.partitionBy("lang").orderBy("h", "text")
-    rows = rows.withColumn("n", F.row_number().over(first)).filter(F.col("n") <= TRAIN_ROWS).orderBy("lang", "n").collect()
+    rows = rows.withColumn("h", F.xxhash64("text"))
+    # copies teach nothing: the choice is among distinct hashes, on rows without their texts
+    first = Window.partitionBy("lang").orderBy("h")
+    chosen = rows.select("lang", "h", F.length("text").alias("size")).distinct().withColumn("n", F.row_number().over(first)).filter(F.col("n") <= TRAIN_ROWS)
+    chosen = chosen.withColumn("before", F.sum("size").over(first) - F.col("size")).filter(F.col("before") < TRAIN_CHARS + RATE_CHARS)
+    picked = rows.join(F.broadcast(chosen.select("lang", "h", "n")), ["lang", "h"]).dropDuplicates(["lang", "h"]).select("lang", "text", "n")
     by: dict[str, list[str]] = {}
-    for r in rows:
-        if not by.get(r["lang"]) or by[r["lang"]][-1] != r["text"]:  # copies teach nothing
-            by.setdefault(r["lang"], []).append(r["text"])
+    for r in picked.orderBy("lang", "n").collect():
+        by.setdefault(r["lang"], []).append(r["text"])
     counts = Counter(c for texts in by.values() for t in texts for c in t.lower() if c.isalpha() and len(c) == 1)
     alphabet = sorted(c for c, _ in counts.most_common(ALPHABET))
     if not alphabet:
