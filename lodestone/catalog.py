@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lodestone import ontology
-from lodestone.functions import evaluation, text
-from lodestone.operators import iterative, relational, sets
+from lodestone.functions import evaluation, predicates, text
+from lodestone.operators import evidence, iterative, relational, sets
 from lodestone.plans import context, router
 from lodestone.sources.tables import WITH, graph, table
 from lodestone.streaming import events
@@ -481,3 +481,87 @@ def _lexical(g):
 def _khop(g):
     ids, edges = context.expand(g, ["customer:1"], 2, 80)
     return edges.select("source", "target", "type")
+
+
+@on_graph("topology_trust", """c AS (SELECT count(*) FILTER (WHERE confidence >= 0.9) AS trusted, count(*) FILTER (WHERE confidence < 0.9) AS ambiguous FROM edges WHERE type IN ('calls', 'calls_candidate', 'uses'))
+SELECT trusted, ambiguous, CASE WHEN trusted / (trusted + ambiguous) >= 0.8 THEN 'high' WHEN trusted / (trusted + ambiguous) < 0.2 THEN 'low' ELSE 'mixed' END AS trust FROM c""")
+def _trust(g):
+    return evidence.topology_trust(g.edges)
+
+
+_DEGREES = "d AS (SELECT id, count(*) AS score FROM (SELECT source AS id FROM edges UNION ALL SELECT target FROM edges) GROUP BY id)"
+
+
+@on_graph("anchor_score_shape", f"""{_DEGREES}, t AS (SELECT score::DOUBLE AS score FROM d ORDER BY score DESC, id LIMIT 24), m AS (SELECT max(score) AS a, sum(score) AS total, (SELECT score FROM t ORDER BY score DESC LIMIT 1 OFFSET 1) AS b FROM t)
+SELECT round_even(a / total, 6) AS top_mass, round_even((a - b) / a, 6) AS gap, (SELECT round_even(-sum(score / total * ln(score / total)), 6) FROM t) AS entropy, (SELECT round_even(sum(score) FILTER (WHERE score >= 0.75 * a) / total, 6) FROM t) AS plateau FROM m""")
+def _score_shape(g):
+    return evidence.score_shape(relational.degree(g).withColumnRenamed("degree", "score"), 24)
+
+
+@on_graph("dominant_scope", f"""{_DEGREES}, s AS (SELECT kind AS scope, sum(score) AS mass FROM nodes JOIN d USING (id) GROUP BY kind), p AS (SELECT scope, round_even(mass / sum(mass) OVER (), 6) AS share FROM s)
+SELECT scope, share FROM p WHERE share >= 0.3""")
+def _dominant(g):
+    scored = g.nodes.join(relational.degree(g).withColumnRenamed("degree", "score"), "id")
+    return evidence.dominant_scope(scored, F.col("kind"), 0.3)
+
+
+@on_graph("graph_comparison", "SELECT count(*) FILTER (WHERE active AND right_in) AS shared, count(*) FILTER (WHERE active AND NOT right_in) AS left_only, count(*) FILTER (WHERE NOT active AND right_in) AS right_only FROM (SELECT active, ord % 2 = 0 AS right_in FROM nodes)")
+def _compare(g):
+    return evidence.compare(g.nodes.filter("active"), g.nodes.filter("ord % 2 = 0"), "id")
+
+
+@on_graph("structural_signature", None)
+def _signature(g):
+    return evidence.signature(g.live.edges)
+
+
+@on_graph("scope_filter", "SELECT id, path FROM nodes WHERE path = 'FRANCE' OR starts_with(path, 'FRANCE/') OR path = 'EUROPE' OR starts_with(path, 'EUROPE/')")
+def _scope(g):
+    return g.nodes.filter(predicates.in_scope(F.col("path"), ["FRANCE", "EUROPE/"])).select("id", "path")
+
+
+@on_graph("term_keys", r"SELECT id, trim(regexp_replace(lower(regexp_replace(label, '([a-z0-9])([A-Z])', '\1 \2', 'g')), '[^a-z0-9]+', ' ', 'g')) AS key FROM nodes")
+def _keys(g):
+    return g.nodes.select("id", predicates.term_key(F.col("label")).alias("key"))
+
+
+@on_graph("test_material", r"SELECT id FROM nodes WHERE regexp_matches(lower(path), '(^|/)(tests?|specs?)(/|$)|(^|/)test_[^/]*$|_test\.[a-z]+$|(test|spec)s?\.(java|kt|ts|js)$')")
+def _tests(g):
+    return g.nodes.filter(predicates.is_test_path(F.col("path"))).select("id")
+
+
+@on_tables("snippet_extents", "lineitem", "WITH l AS (SELECT DISTINCT l_orderkey AS path, l_linenumber AS line FROM lineitem) SELECT path, line, coalesce(lead(line) OVER (PARTITION BY path ORDER BY line) - 1, -1) AS end_line FROM l")
+def _extents(lineitem):
+    nodes = lineitem.select(F.col("l_orderkey").alias("path"), F.col("l_linenumber").alias("line")).distinct()
+    return evidence.extents(nodes).select("path", "line", F.coalesce("end_line", F.lit(-1)).alias("end_line"))
+
+
+@on_tables("interval_containment", "orders", """WITH s AS (SELECT o_custkey AS file, o_orderkey AS id, (o_orderkey % 997) AS b, (o_orderkey % 997) + 1 + (o_orderkey % 13) * 40 AS e FROM orders)
+SELECT c.file, c.id, arg_min(p.id, (p.e - p.b) * 10000000000 + p.id) AS parent FROM s c JOIN s p ON c.file = p.file AND p.b < c.b AND c.e <= p.e GROUP BY ALL""")
+def _containment(orders):
+    begin = F.col("o_orderkey") % 997
+    return evidence.containment(orders.select(F.col("o_custkey").alias("file"), F.col("o_orderkey").alias("id"), begin.alias("begin"), (begin + 1 + F.col("o_orderkey") % 13 * 40).alias("end")), 100)
+
+
+@on_tables("stem_join", "orders customer", "SELECT o_orderkey AS test, c_custkey AS source FROM orders JOIN customer ON o_custkey = c_custkey")
+def _stems(orders, customer):
+    return evidence.stem_pairs(orders.select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("stem")), customer.select(F.col("c_custkey").alias("id"), F.col("c_custkey").alias("stem")))
+
+
+@on_tables("doc_code_pairs", "part supplier", "WITH a AS (SELECT DISTINCT p_partkey % 40 AS key FROM part), b AS (SELECT DISTINCT s_suppkey * 7 AS key FROM supplier) SELECT CASE WHEN b.key IS NULL THEN 'doc_only' WHEN a.key IS NULL THEN 'code_only' ELSE 'paired' END AS status, count(*) AS n FROM a FULL JOIN b ON a.key = b.key GROUP BY 1")
+def _coverage(part, supplier):
+    return evidence.key_coverage(part.select((F.col("p_partkey") % 40).alias("key")), supplier.select((F.col("s_suppkey") * 7).alias("key")))
+
+
+@on_tables("freshness", "pages", "SELECT page_id AS path, CASE WHEN page_id % 5 = 0 THEN 'new' WHEN page_id % 7 = 0 THEN 'deleted' WHEN page_id % 3 = 0 THEN 'stale' ELSE 'fresh' END AS state FROM pages")
+def _freshness(pages):
+    h = F.sha2(F.coalesce("html", F.lit("")), 256)
+    known = pages.filter("page_id % 5 <> 0").select(F.col("page_id").alias("path"), F.when(F.col("page_id") % 3 == 0, "old").otherwise(h).alias("hash"))
+    now = pages.filter("page_id % 7 <> 0 OR page_id % 5 = 0").select(F.col("page_id").alias("path"), h.alias("hash"))
+    return evidence.freshness(now, known)
+
+
+@on_tables("inflection_forms", "nation", "SELECT n_nationkey, lower(n_name) || 's' AS term, list_contains([lower(n_name), lower(n_name) || 's'], lower(n_name)) AS stemmed, round_even(tanh((length(n_name) - 4) / 3), 6) AS specificity FROM nation")
+def _inflections(nation):
+    term = F.concat(F.lower("n_name"), F.lit("s"))
+    return nation.select("n_nationkey", term.alias("term"), F.array_contains(predicates.inflections(term), F.lower("n_name")).alias("stemmed"), F.bround(predicates.specificity(term), 6).alias("specificity"))
