@@ -114,7 +114,7 @@ class Plan:
                 x0 = max(0, seq * w - p.placed)
             within = here - p.of(k, x0)
             run = min(count, p.of(k, x1) - here)
-            before = sum(p.of(j, x1) - p.of(j, x0) for j in range(k))
+            before = p.given(k, x1) - p.given(k, x0)
             yield run, seq, p.placed + x0 - seq * w + before + within
             begin += run
             count -= run
