@@ -2,14 +2,15 @@
 
 The ids are those of the tokenizer file.  A space that has a non-space on at least one side
 is always the start of a new pre-token, so a text may be cut before such spaces and each
-chunk encoded alone; most chunks repeat and come from the cache.
+chunk encoded alone; most chunks repeat and come from the cache.  The others go to a rank-based
+encoder built from the same file.
 """
 
 from __future__ import annotations
 
+import json
 import re
-
-import numpy as np
+from array import array
 
 #: A space that is no safe cut: white space or an end of the text on both sides.
 _UNSAFE = re.compile(r"(?:\A|\s) (?:\s|\Z)")
@@ -18,18 +19,41 @@ _CUT = re.compile(r"(?<=\S) (?=\S)")
 CACHE = 400_000
 
 
+#: The byte-level pre-tokenizer's own split.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
+
+def byte_of_char() -> dict[str, int]:
+    """The printable character that stands for each byte in a byte-level vocabulary."""
+    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in printable]
+    return {chr(b): b for b in printable} | {chr(256 + i): b for i, b in enumerate(rest)}
+
+
+def ranked(path: str) -> dict[bytes, int]:
+    """The vocabulary of a byte-level BPE file as ranks, if ids follow the order of its merges."""
+    with open(path, encoding="utf-8") as f:
+        model = json.load(f)["model"]
+    char, vocab = byte_of_char(), model["vocab"]
+    pairs = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
+    made = [vocab[a + b] for a, b in pairs]
+    if made != sorted(made) or made and made[0] < 256:
+        raise ValueError("ids don't follow the merges")
+    return {bytes(char[c] for c in t): i for t, i in vocab.items() if len(t) == 1 or all(c in char for c in t)}
+
+
 class WordCachedBPE:
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        import tiktoken
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        if self.tokenizer.get_vocab_size() > 65536:
+        ranks = {t: i for t, i in ranked(path).items() if t != b"<|endoftext|>"}
+        self.encoding = tiktoken.Encoding("words", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+        if max(ranks.values()) > 65535:
             raise ValueError("ids must fit 16 bits")
         self.cache: dict[str, bytes] = {}
 
     def _raw(self, chunk: str) -> bytes:
-        return np.array(self.tokenizer.encode(chunk, add_special_tokens=False).ids, "<u2").tobytes()
+        return array("H", self.encoding.encode_ordinary(chunk)).tobytes()
 
     def _get(self, chunk: str) -> bytes:
         got = self.cache.get(chunk)
