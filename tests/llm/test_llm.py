@@ -288,3 +288,13 @@ def test_pipeline(spark, tmp_path, rows):
     spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     got = corpus_pipeline.run(spark, str(tmp_path)).toPandas()
     assert len(got) and not set(got["doc_id"].dropna()) & {120, 121, 129} and [n for n, _ in corpus_pipeline.STAGES][-1] == "packing"
+
+
+def test_scoring_in_parts_changes_nothing(monkeypatch):
+    scorer = attention_lm.Scorer.__new__(attention_lm.Scorer)
+    scorer.vocab = attention_lm.Vocabulary({i: 50 - i for i in range(50)}, 64)
+    scorer.p, r = attention_lm.init(scorer.vocab), np.random.default_rng(0)
+    ids = [r.integers(0, 60, n) for n in (1, 5, 300, 40, 1, 900, 2)]
+    whole = scorer.score(ids)
+    monkeypatch.setattr(attention_lm, "TOKENS", 100)
+    np.testing.assert_allclose(scorer.score(ids), whole, rtol=1e-4)
