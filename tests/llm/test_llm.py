@@ -298,3 +298,29 @@ def test_scoring_in_parts_changes_nothing(monkeypatch):
     whole = scorer.score(ids)
     monkeypatch.setattr(attention_lm, "TOKENS", 100)
     np.testing.assert_allclose(scorer.score(ids), whole, rtol=1e-4)
+
+
+def test_keep_one_takes_all_pairs_from_080(spark):
+    r = random.Random(5)
+    word = lambda: "".join(r.choices("abcdefghij", k=6))
+    texts = []
+    for _ in range(40):
+        base = [word() for _ in range(r.randint(60, 400))]
+        texts.append(base)
+        for changes in (1, 2, 3, 5, 8, 12):  # similarities on both sides of 0.8
+            copy = list(base)
+            for at in r.sample(range(len(copy)), min(changes, len(copy))):
+                copy[at] = word()
+            texts.append(copy)
+    grams = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in texts]
+    root, near = list(range(len(texts))), 0
+    for a in range(len(texts)):
+        for b in range(a):
+            both = len(grams[a] & grams[b])
+            if 5 * both >= 4 * (len(grams[a]) + len(grams[b]) - both):
+                near += 1
+                old, new = root[a], root[b]
+                root = [new if x == old else x for x in root]
+    want = {root.index(x) for x in root}
+    got = simhash.keep_one(spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(texts)], "doc_id long, text string"))
+    assert near > 150 and {x["doc_id"] for x in got.collect()} == want
