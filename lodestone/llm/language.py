@@ -173,6 +173,18 @@ def held_out(doc_id: int) -> bool:
     return zlib.crc32(str(doc_id).encode()) % 3 == 1
 
 
+def split(arrays: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(text to learn from, text to measure the rate on) of a language: the first and the last part of its texts in line.
+
+    The parts are as TRAIN_CHARS to RATE_CHARS whatever the number of texts, so the rate is never that of
+    learned text; at most one text is cut in two.  Below four symbols there is nothing to hold back.
+    """
+    line = np.concatenate([np.append(a, np.uint8(0)) for a in arrays])[: TRAIN_CHARS + RATE_CHARS]
+    cut = -(-len(line) * TRAIN_CHARS // (TRAIN_CHARS + RATE_CHARS))
+    rate = line[cut:]
+    return line[:cut], rate if (rate > 1).any() else line
+
+
 def fit(docs: DataFrame) -> tuple[CrossParser, Reducer] | None:
     """A parser from labelled rows that aren't held out; None if there are none.
 
@@ -200,12 +212,10 @@ def fit(docs: DataFrame) -> tuple[CrossParser, Reducer] | None:
         arrays = [a for a in map(reducer, by[lang]) if (a != 1).any()]
         if not arrays:
             continue
-        own_rate = arrays[::5] if len(arrays) >= 10 else arrays
-        train = [a for i, a in enumerate(arrays) if i % 5] if len(arrays) >= 10 else arrays
-        symbols = np.concatenate([np.append(a, np.uint8(0)) for a in train])[:TRAIN_CHARS]
+        symbols, own_rate = split(arrays)
         languages.append(lang)
         tables.append(automaton(symbols.tolist(), len(alphabet) + 2))
-        own.append(np.concatenate(own_rate)[:RATE_CHARS])
+        own.append(own_rate)
     if not languages:
         return None
     parser = CrossParser(languages, alphabet, tables, [1.0] * len(languages))

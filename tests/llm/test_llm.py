@@ -324,3 +324,21 @@ def test_keep_one_takes_all_pairs_from_080(spark):
     want = {root.index(x) for x in root}
     got = simhash.keep_one(spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(texts)], "doc_id long, text string"))
     assert near > 150 and {x["doc_id"] for x in got.collect()} == want
+
+
+def _words(seed, n, letters):
+    r = random.Random(seed)
+    return " ".join("".join(r.choices(letters, k=r.randint(2, 7))) for _ in range(n))
+
+
+@pytest.mark.parametrize("texts,words", [(3, 120), (4, 5500)])  # few texts; texts of about 30,000 characters
+def test_language_with_few_or_long_texts(spark, texts, words):
+    letters = {"xx": "aaabdeegilmnoo", "yy": "aehkkoprstuuvw"}
+    ids = [i for i in range(100) if not language.held_out(i)]
+    learned = {lang: [_words(f"{lang}{i}", words, letters[lang]) for i in range(40 if lang == "yy" and texts == 3 else texts)] for lang in letters}
+    rows = [(i, t, lang) for i, (lang, t) in zip(ids, ((lang, t) for lang in letters for t in learned[lang]))]
+    unseen = [(1000 + 10 * j + k, _words(f"new{lang}{j}", 200, letters[lang]), lang) for k, lang in enumerate(letters) for j in range(5)]
+    held = [(i, t, lang) for i, (_, t, lang) in zip((i for i in range(5000, 9000) if language.held_out(i)), unseen)]
+    parser, reducer = language.fit(spark.createDataFrame(rows + held, "doc_id long, text string, lang string"))
+    langs, scores = parser.predict([t for _, t, _ in held], reducer)
+    assert langs == [lang for *_, lang in held] and min(scores) > 0.5
