@@ -1,11 +1,13 @@
 """Mixture-controlled packing.
 
 Every source is a queue of tokens.  Windows of a fixed length take tokens from all queues
-in proportion to target weights; what a queue is owed beyond whole tokens (its deficit, below
-one token) is carried to the next window.  The deficit round-robin is evaluated in closed form:
-with x tokens placed so far, the queues before s have received ``floor(x * cum_s / total)``
-tokens.  Any worker can therefore compute the window of any token from its position in its own
-queue, so deficits are carried across windows and across partitions without a sequential pass.
+in proportion to target weights; what a queue is owed beyond whole tokens (its deficit) is
+carried to the next window.  The deficit round-robin is evaluated in closed form: of x tokens placed
+so far, each half of a balanced binary tree over the queues receives its weight's part, the left half
+rounded down and the right half the rest.  A part of the weight grows by 0 or 1 with each token, so
+no queue's count ever falls; its deficit stays below the depth of the tree.  Any worker can therefore
+compute the window of any token from its position in its own queue, so deficits are carried across
+windows and across partitions without a sequential pass.
 A queue that runs dry ends a phase; the others go on with their weights renormalised.
 """
 
@@ -41,12 +43,20 @@ class Phase:
     taken: tuple[int, ...]  # of each queue, before the phase
     cum: tuple[int, ...]  # cumulated weights, 0 first
 
-    def given(self, k: int, x: int) -> int:
-        """Tokens that the first k queues have received after x tokens of the phase."""
-        return x * self.cum[k] // self.cum[-1]
+    def share(self, k: int, x: int) -> tuple[int, int]:
+        """(tokens that the first k queues, and that queue k have received) after x tokens of the phase."""
+        low, high, before, cum = 0, len(self.queues), 0, self.cum
+        while high - low > 1:
+            mid = (low + high) // 2
+            left = x * (cum[mid] - cum[low]) // (cum[high] - cum[low])
+            if k < mid:
+                high, x = mid, left
+            else:
+                low, before, x = mid, before + left, x - left
+        return before, x
 
     def of(self, k: int, x: int) -> int:
-        return self.given(k + 1, x) - self.given(k, x)
+        return self.share(k, x)[1]
 
 
 class Plan:
@@ -96,28 +106,35 @@ class Plan:
             taken, i, k = runs[at]
             p = self.phases[i]
             here = begin - taken
-            if here >= p.of(k, p.length):
+            total = p.of(k, p.length)
+            if here >= total:
                 at += 1
                 continue
-            # the window (cut by the phase) that holds the queue's token number `here`
-            weight = p.cum[k + 1] - p.cum[k]
-            seq = (p.placed + max(0, (here * p.cum[-1]) // weight - p.cum[-1] // weight - 1)) // w
-            while True:
-                x0 = max(0, seq * w - p.placed)
+            # the window (cut by the phase) that holds the queue's token number `here`: the last that begins
+            # with at most so many, searched in steps that double from where the weight puts it
+            first, last = p.placed // w, (p.placed + p.length - 1) // w
+            begins = lambda s: p.of(k, max(0, s * w - p.placed)) <= here  # noqa: B023, E731
+            low = high = min(last, max(first, (p.placed + here * p.cum[-1] // (p.cum[k + 1] - p.cum[k])) // w))
+            step = 1
+            while low > first and not begins(low):
+                low, high, step = max(first, low - step), low, 2 * step
+            if high == low:
+                high = low + 1
+                while high <= last and begins(high):
+                    low, high, step = high, min(last + 1, high + step), 2 * step
+            while high - low > 1:
+                mid = (low + high) // 2
+                low, high = (mid, high) if begins(mid) else (low, mid)
+            seq, x0 = low, max(0, low * w - p.placed)
+            before, got = p.share(k, x0)
+            while count and here < total:
                 x1 = min(p.length, (seq + 1) * w - p.placed)
-                if x1 > 0 and p.of(k, x1) > here:
-                    break
-                seq += 1
-            while x0 > 0 and p.of(k, x0) > here:
-                seq -= 1
-                x1 = x0
-                x0 = max(0, seq * w - p.placed)
-            within = here - p.of(k, x0)
-            run = min(count, p.of(k, x1) - here)
-            before = p.given(k, x1) - p.given(k, x0)
-            yield run, seq, p.placed + x0 - seq * w + before + within
-            begin += run
-            count -= run
+                before1, got1 = p.share(k, x1)
+                run = min(count, got1 - here)
+                if run:
+                    yield run, seq, p.placed + x0 - seq * w + before1 - before + here - got
+                    begin, here, count = begin + run, here + run, count - run
+                seq, x0, before, got = seq + 1, x1, before1, got1
 
 
 def tokenize(docs: DataFrame, tokenizer_path: str, end_id: int = 0, queue: str = "source") -> DataFrame:

@@ -342,3 +342,27 @@ def test_language_with_few_or_long_texts(spark, texts, words):
     parser, reducer = language.fit(spark.createDataFrame(rows + held, "doc_id long, text string, lang string"))
     langs, scores = parser.predict([t for _, t, _ in held], reducer)
     assert langs == [lang for *_, lang in held] and min(scores) > 0.5
+
+
+def test_plan_with_a_rare_queue():
+    totals = {"a": 314_159, "b": 150, "c": 571_828}
+    plan, filled = packing.Plan(totals, 1024), {}
+    for q, n in totals.items():
+        r, at = random.Random(q), 0
+        while at < n:
+            size, done = min(n - at, r.randint(1, 3000)), 0
+            for length, seq, offset in plan.pieces(q, at, size):
+                filled.setdefault(seq, []).append((offset, length))
+                done += length
+            assert done == size
+            at += size
+    assert sorted(filled) == list(range(-(-plan.total // 1024)))
+    for seq, pieces in filled.items():
+        end = 0
+        for offset, length in sorted(pieces):
+            assert offset == end
+            end += length
+        assert end == min(1024, plan.total - seq * 1024)
+    for x in range(0, plan.total, 1024):
+        for k, n in enumerate(totals.values()):
+            assert abs(plan.phases[0].of(k, x) - x * n / plan.total) < 2
