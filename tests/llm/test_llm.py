@@ -366,3 +366,26 @@ def test_plan_with_a_rare_queue():
     for x in range(0, plan.total, 1024):
         for k, n in enumerate(totals.values()):
             assert abs(plan.phases[0].of(k, x) - x * n / plan.total) < 2
+
+
+def test_training_sees_every_window(spark, docs, rows, monkeypatch):
+    tables, kept = {}, attention_lm.scratch.table
+    monkeypatch.setattr(attention_lm.scratch, "table", lambda df, name: tables.setdefault(name, kept(df, name)))
+    attention_lm.score(docs, BPE)
+    encoder = WordCachedBPE(BPE)
+    lengths = [len(encoder.encode_bytes(attention_lm.lower_ascii(t).decode())) // 2 + 1 for i, t, *_ in rows if i is not None and t is not None and not attention_lm.held_out(i)]
+    assert sum(r["weight"] for r in tables["lm-params"].collect()) == sum(-(-n // attention_lm.STRIDE) for n in lengths)
+
+
+def test_one_pass_in_chunks(monkeypatch):
+    v = attention_lm.Vocabulary({i: 50 - i for i in range(50)}, 64)
+    monkeypatch.setattr(attention_lm, "TOKENS", 100)
+    p, r = attention_lm.init(v), np.random.default_rng(0)
+    texts = [np.arange(n).astype(np.int32) % 50 for n in r.integers(1, 200, 400)]
+    loss = lambda: attention_lm.gradients(p, *attention_lm.windows(texts[:50])[:4])[0]
+    before, taught = loss(), attention_lm.Pass(p, 2, 1e-3)
+    for t in texts:
+        taught.add(t)
+        assert taught.held < 100
+    taught.flush()
+    assert taught.seen == sum(-(-len(t) // attention_lm.STRIDE) for t in texts) and loss() < before
