@@ -316,7 +316,7 @@ def similar(docs: DataFrame, sets: DataFrame, width: int) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, width: int = 5) -> DataFrame:
-    """The documents of docs that stay: the one with the smallest doc_id of each component, whole rows.
+    """The documents of docs that stay: the one with the smallest doc_id, then text hash, of each component, whole rows.
 
     Components are linked by a shingle similarity of SIMILAR or more; texts without words are alike.
     Rows that share that doc_id are told apart by their text, so one row of a repeated row stays.
@@ -325,9 +325,11 @@ def keep_one(docs: DataFrame, width: int = 5) -> DataFrame:
     named = docs.filter("doc_id IS NOT NULL")
     sets = shingle_sets(named, width)
     roots = components(similar(named, sets, width)).withColumnRenamed("node", "_node")
-    least = sets.groupBy("node").agg(F.min("doc_id").alias("doc_id")).join(roots, F.col("node") == F.col("_node"), "left")
-    keep = least.groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("doc_id").alias("_keep")).select("_keep").distinct()
-    kept = docs.join(keep, F.col("doc_id").cast("long") == F.col("_keep"), "inner").drop("_keep").dropDuplicates(["doc_id"])
+    first = F.min(F.struct("doc_id", "key")).alias("first")
+    least = sets.groupBy("node").agg(first).join(roots, F.col("node") == F.col("_node"), "left").select("first.*", F.coalesce("root", "node").alias("root"))
+    keep = least.groupBy("root").agg(first).select(F.col("first.doc_id").alias("_keep"), F.col("first.key").alias("_key")).distinct()
+    same = (F.col("doc_id").cast("long") == F.col("_keep")) & (F.xxhash64("text") == F.col("_key"))
+    kept = docs.join(keep, same, "inner").dropDuplicates(["_keep", "_key"]).drop("_keep", "_key")
     return kept.unionByName(docs.filter("doc_id IS NULL"))
 
 

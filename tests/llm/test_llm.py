@@ -389,3 +389,9 @@ def test_one_pass_in_chunks(monkeypatch):
         assert taught.held < 100
     taught.flush()
     assert taught.seen == sum(-(-len(t) // attention_lm.STRIDE) for t in texts) and loss() < before
+
+
+def test_keep_one_tells_rows_of_one_id_apart(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
+    got = simhash.keep_one(spark.createDataFrame([(1, a), (1, a), (1, b), (2, b), (3, c)], "doc_id long, text string")).collect()
+    assert sorted(tuple(r) for r in got) == [(1, a), (1, b), (3, c)]
