@@ -4,8 +4,8 @@ Vectors are floor(SCALE * x) in every component.  A shard is one task's share of
 KD-tree splits at the median of the widest dimension and each node holds the tight bounding box of
 its vectors.  A box bounds the inner product with q by sum(max(q * low, q * high)).  Best-first
 traversal opens the node of the highest bound and ends when no bound reaches the query's
-kth score; ties count, so that the smaller vec_id wins.  The kth score over a sample-free first shard
-look, the best leaf, starts the bound, and it is propagated from each leaf to the next.  Queries are
+kth score; ties count, so that the smaller vec_id wins.  The best leaf starts the bound, and it is
+propagated from each leaf to the next, within a shard only: every shard starts anew.  Queries are
 read in fixed blocks against every shard; only k candidates per query and shard are shuffled.
 """
 
