@@ -395,3 +395,21 @@ def test_keep_one_tells_rows_of_one_id_apart(spark):
     a, b, c = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
     got = simhash.keep_one(spark.createDataFrame([(1, a), (1, a), (1, b), (2, b), (3, c)], "doc_id long, text string")).collect()
     assert sorted(tuple(r) for r in got) == [(1, a), (1, b), (3, c)]
+
+
+def test_rollup_revision_and_two_versions(spark, docs, rows):
+    counts = rollup.counted(docs, {"v1": BPE, "v2": BPE})
+    after = rollup.counted(docs.filter("lang = 'fr'").withColumn("text", docs["text"].substr(1, 20)), {"v1": BPE, "v2": BPE})
+    store = rollup.Rollup(spark, path(spark, "test-revision"))
+    for _ in range(2):
+        store.commit("1", rollup.signed(None, counts))
+        store.commit("2", rollup.signed(counts.filter("lang = 'fr'"), after))
+    encoder, want = WordCachedBPE(BPE), Counter()
+    for _, t, lang, source, _ in rows:
+        t = (t or "")[:20] if lang == "fr" else t or ""
+        for v in ("v1", "v2"):
+            want[source or "", lang or "", v, "docs"] += 1
+            want[source or "", lang or "", v, "tokens"] += len(encoder.encode_bytes(t)) // 2
+            want[source or "", lang or "", v, "chars"] += len(t)
+    got = {(r["source"], r["lang"], r["tokenizer"], m): r[m] for r in store.totals().collect() for m in rollup.MEASURES}
+    assert got == dict(want)
