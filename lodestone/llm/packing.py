@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lodestone.llm import scratch
-from lodestone.llm.bpe_words import WordCachedBPE
+from lodestone.llm.byte_bpe import ByteBPE
 
 #: Above this many rows the table of partition offsets is joined by a shuffle, not broadcast.
 BROADCAST_ROWS = 100_000
@@ -144,7 +144,7 @@ def tokenize(docs: DataFrame, tokenizer_path: str, end_id: int = 0, queue: str =
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
 
-        bpe, part, seen = WordCachedBPE(tokenizer_path), TaskContext.get().partitionId(), {}
+        bpe, part, seen = ByteBPE(tokenizer_path), TaskContext.get().partitionId(), {}
         end = np.array([end_id], "<u2").tobytes()
         for batch in batches:
             ids = [bpe.encode_bytes(t if isinstance(t, str) else "") + end for t in batch["text"]]

@@ -33,9 +33,9 @@ def counted(docs: DataFrame, tokenizers: dict[str, str]) -> DataFrame:
     text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from lodestone.llm.bpe_words import WordCachedBPE
+        from lodestone.llm.byte_bpe import ByteBPE
 
-        encoders = {v: WordCachedBPE(p) for v, p in tokenizers.items()}
+        encoders = {v: ByteBPE(p) for v, p in tokenizers.items()}
         for batch in batches:
             chars = batch["text"].str.len().astype(np.int64)
             for version, encoder in encoders.items():

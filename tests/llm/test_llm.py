@@ -10,53 +10,12 @@ import numpy as np
 import public_tokenizers
 import pytest
 
-from lodestone.llm import attention_lm, language, packing, quality, rollup, sentencepiece_bpe, sharding, simhash, topk, warc
-from lodestone.llm.bpe_words import WordCachedBPE
+from lodestone.llm import language, packing, quality, rollup, sentencepiece_bpe, sharding, simhash, topk, warc
+from lodestone.llm.byte_bpe import ByteBPE
 from lodestone.llm.scratch import folder, path
 
 BPE = public_tokenizers.path("byte_bpe_50k.json")
 PIECE = public_tokenizers.path("piece_bpe_32k.model")
-ODD = ["", " ", "a  b", "\n \n x ", "日本語 テスト 😀", "<|endoftext|> <s> ▁x", "don't \t we'll  　 y", "x" * 3000, "la la la " * 200, None]
-
-
-def corpus(n=120, seed=3):
-    r = random.Random(seed)
-    syllables = {"en": ["the", "of", "ing", "er", "tion", "and"], "fr": ["é", "eau", "que", "le", "ai", "ou"]}
-    rows = []
-    for i in range(n):
-        lang = r.choice(["en", "fr"])
-        words = ["".join(r.choices(syllables[lang], k=r.randint(1, 3))) for _ in range(r.randint(1, 160))]
-        rows.append((i, " ".join(words), lang, r.choice(["s0", "s0", "s1", None]), "extra"))
-    rows += [(n + i, t, None, None, "extra") for i, t in enumerate(ODD)]
-    rows += [(n + 50, rows[0][1], "en", "s0", "x"), (n + 50, rows[0][1], "en", "s0", "x"), (None, rows[1][1], "en", "s1", "x")]
-    return rows
-
-
-SCHEMA = "doc_id long, text string, lang string, source string, row_number string"
-
-
-@pytest.fixture(scope="module")
-def rows():
-    return corpus()
-
-
-@pytest.fixture(scope="module")
-def docs(spark, rows):
-    return spark.createDataFrame(rows, SCHEMA).repartition(3)
-
-
-@pytest.fixture(scope="module")
-def empty(spark):
-    return spark.createDataFrame([], SCHEMA)
-
-
-def test_bpe_equals_the_tokenizer(rows):
-    from tokenizers import Tokenizer
-
-    t, mine = Tokenizer.from_file(BPE), WordCachedBPE(BPE)
-    t.encode_special_tokens = True
-    for text in [r[1] or "" for r in rows]:
-        assert np.frombuffer(mine.encode_bytes(text), "<u2").tolist() == t.encode(text, add_special_tokens=False).ids
 
 
 @pytest.mark.parametrize("targets", [None, {"s0": 1, "s1": 3, "": 1}])
@@ -67,7 +26,7 @@ def test_packing(docs, rows, targets):
         assert s["offset"].tolist() == [0, *s["length"].cumsum()[:-1]]
     sums = got.groupby("sequence_id")["length"].sum()
     assert (sums[:-1] == 64).all() and sums.index.tolist() == list(range(len(sums)))
-    mine = WordCachedBPE(BPE)
+    mine = ByteBPE(BPE)
     ids = {r[0]: np.append(np.frombuffer(mine.encode_bytes(r[1] or ""), "<u2"), 0).astype("<u4") for r in rows if r[0] is not None}
     for r in got[got.doc_id.notna()].itertuples():
         assert zlib.crc32(ids[r.doc_id][r.start : r.start + r.length].tobytes()) == r.ids_crc32
@@ -238,46 +197,7 @@ def test_language(docs, rows, empty):
     assert language.identify(empty).isEmpty()
 
 
-def test_attention_gradients():
-    v = attention_lm.Vocabulary({i: 50 - i for i in range(50)}, 64)
-    p = {k: a.astype(np.float64) for k, a in attention_lm.init(v).items()}
-    r = np.random.default_rng(0)
-    x, pad, target, use, _ = attention_lm.windows([r.integers(0, 50, 60).astype(np.int32)])
-    _, grads = attention_lm.gradients(p, x, pad, target, use)
-    for name in ("emb", "q", "k", "v", "o", "f1", "f2", "g", "w"):
-        at = np.unravel_index(np.abs(grads[name]).argmax(), p[name].shape)
-        p[name][at] += 1e-5
-        up = attention_lm.gradients(p, x, pad, target, use)[0]
-        p[name][at] -= 2e-5
-        down = attention_lm.gradients(p, x, pad, target, use)[0]
-        p[name][at] += 1e-5
-        assert (up - down) / 2e-5 == pytest.approx(grads[name][at], rel=2e-2, abs=1e-5)
-
-
-def test_scoring_equals_the_plain_forward_pass():
-    v = attention_lm.Vocabulary({i: 50 - i for i in range(50)}, 64)
-    p, r = attention_lm.init(v), np.random.default_rng(0)
-    x, pad, target, use, _ = attention_lm.windows([r.integers(0, 50, n).astype(np.int32) for n in (1, 7, 60)])
-    h, _ = attention_lm.forward(p, x, pad)
-    assert use.sum() == 68
-    np.testing.assert_allclose(attention_lm.score_windows(p, x, pad, target, use), attention_lm.log_probs(p, h[use], target[use])[0], rtol=2e-3, atol=2e-3)
-
-
-def test_attention_lm(docs, rows, empty):
-    got = attention_lm.score(docs, BPE).collect()
-    assert len(got) == len(rows)
-    counts = Counter()
-    for i, t, *_ in rows:
-        if i is not None and not attention_lm.held_out(i):
-            counts.update([*attention_lm.lower_ascii(t).split(), None])
-    n, kinds = sum(counts.values()), len(counts)
-    text = {i: t for i, t, *_ in rows}
-    for r in got:
-        w = [*attention_lm.lower_ascii(text[r["doc_id"]]).split(), None]
-        assert r["n_tokens"] == len(w) and r["n_known"] == sum(counts[x] > 0 for x in w) and r["train_tokens"] == n
-        assert r["base_score"] == pytest.approx(sum(np.log10((counts[x] + 1) / (n + kinds + 1)) for x in w))
-        assert r["score"] < 0
-    assert attention_lm.score(empty, BPE).isEmpty()
+
 
 
 def test_pipeline(spark, tmp_path, rows):
@@ -290,15 +210,6 @@ def test_pipeline(spark, tmp_path, rows):
     assert len(got) and not set(got["doc_id"].dropna()) & {120, 121, 129} and [n for n, _ in corpus_pipeline.STAGES][-1] == "packing"
 
 
-def test_scoring_in_parts_changes_nothing(monkeypatch):
-    scorer = attention_lm.Scorer.__new__(attention_lm.Scorer)
-    scorer.vocab = attention_lm.Vocabulary({i: 50 - i for i in range(50)}, 64)
-    scorer.p, r = attention_lm.init(scorer.vocab), np.random.default_rng(0)
-    ids = [r.integers(0, 60, n) for n in (1, 5, 300, 40, 1, 900, 2)]
-    whole = scorer.score(ids)
-    monkeypatch.setattr(attention_lm, "TOKENS", 100)
-    np.testing.assert_allclose(scorer.score(ids), whole, rtol=1e-4)
-
 
 def test_keep_one_takes_all_pairs_from_080(spark):
     r = random.Random(5)
@@ -368,27 +279,6 @@ def test_plan_with_a_rare_queue():
             assert abs(plan.phases[0].of(k, x) - x * n / plan.total) < 2
 
 
-def test_training_sees_every_window(spark, docs, rows, monkeypatch):
-    tables, kept = {}, attention_lm.scratch.table
-    monkeypatch.setattr(attention_lm.scratch, "table", lambda df, name: tables.setdefault(name, kept(df, name)))
-    attention_lm.score(docs, BPE)
-    encoder = WordCachedBPE(BPE)
-    lengths = [len(encoder.encode_bytes(attention_lm.lower_ascii(t).decode())) // 2 + 1 for i, t, *_ in rows if i is not None and t is not None and not attention_lm.held_out(i)]
-    assert sum(r["weight"] for r in tables["lm-params"].collect()) == sum(-(-n // attention_lm.STRIDE) for n in lengths)
-
-
-def test_one_pass_in_chunks(monkeypatch):
-    v = attention_lm.Vocabulary({i: 50 - i for i in range(50)}, 64)
-    monkeypatch.setattr(attention_lm, "TOKENS", 100)
-    p, r = attention_lm.init(v), np.random.default_rng(0)
-    texts = [np.arange(n).astype(np.int32) % 50 for n in r.integers(1, 200, 400)]
-    loss = lambda: attention_lm.gradients(p, *attention_lm.windows(texts[:50])[:4])[0]
-    before, taught = loss(), attention_lm.Pass(p, 2, 1e-3)
-    for t in texts:
-        taught.add(t)
-        assert taught.held < 100
-    taught.flush()
-    assert taught.seen == sum(-(-len(t) // attention_lm.STRIDE) for t in texts) and loss() < before
 
 
 def test_keep_one_tells_rows_of_one_id_apart(spark):
@@ -404,7 +294,7 @@ def test_rollup_revision_and_two_versions(spark, docs, rows):
     for _ in range(2):
         store.commit("1", rollup.signed(None, counts))
         store.commit("2", rollup.signed(counts.filter("lang = 'fr'"), after))
-    encoder, want = WordCachedBPE(BPE), Counter()
+    encoder, want = ByteBPE(BPE), Counter()
     for _, t, lang, source, _ in rows:
         t = (t or "")[:20] if lang == "fr" else t or ""
         for v in ("v1", "v2"):
