@@ -115,10 +115,10 @@ def test_one_pass_in_chunks(monkeypatch):
 
 def test_models_are_averaged_by_weight(spark):
     r, n = np.random.default_rng(1), 2 * lm.FAN + 5  # two rounds
-    vec, weight = r.random((n, 7)).astype(np.float32), r.random((n, 7)).astype(np.float32)
+    vec, weight = r.random((n, 6)).astype(np.float32), r.random((n, 3)).astype(np.float32)
     parts = spark.createDataFrame([(i, 0, bytearray(v.tobytes()), bytearray(w.tobytes())) for i, (v, w) in enumerate(zip(vec, weight))], "part long, chunk int, vec binary, weight binary")
     (got,) = lm.averaged(parts, spark).collect()
-    np.testing.assert_allclose(np.frombuffer(got["vec"], np.float32), (vec * weight).sum(0) / weight.sum(0), rtol=1e-5)
+    np.testing.assert_allclose(np.frombuffer(got["vec"], np.float32), (vec * (wide := weight.repeat(2, axis=1))).sum(0) / wide.sum(0), rtol=1e-5)
 
 
 @pytest.mark.parametrize("piece", [lm.PIECE, 40])  # also with words spread over many pieces
