@@ -124,7 +124,8 @@ def write(pages: DataFrame, min_payload: int = 0, segment: int = SEGMENT) -> Dat
     pages: page_id, url, html; extra columns are ignored; null html is the empty payload and null url
     about:blank.  Of the records with equal payloads of at least min_payload bytes that with the
     largest page_id is the response and the others revisit it; a null page_id is always a
-    response.  Rows that share that page_id are all responses.
+    response.  Rows that share that page_id are all responses.  A record's id is its page's, with a random
+    part where rows share a page_id or it is null.
     """
     spark = pages.sparkSession
     base = scratch.path(spark, "warc")
@@ -134,6 +135,11 @@ def write(pages: DataFrame, min_payload: int = 0, segment: int = SEGMENT) -> Dat
     groups = scratch.table(groups.filter("n > 1").drop("n"), "warc-groups")
     # only members of groups are named, so that payloads without copies cross no shuffle beyond this key
     named = keyed.join(groups, ["sha", "size"], "left").withColumn("refers", F.when(F.col("page_id") < F.col("first"), F.col("first")))
+    repeated = scratch.table(keyed.groupBy("page_id").count().filter("count > 1 AND page_id IS NOT NULL").drop("count"), "warc-repeated")
+    if repeated.isEmpty():  # as a rule: then no row has to be looked up
+        named = named.withColumn("again", F.lit(False))
+    else:
+        named = named.join(repeated.withColumn("again", F.lit(True)), "page_id", "left")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyarrow import fs
@@ -147,13 +153,13 @@ def write(pages: DataFrame, min_payload: int = 0, segment: int = SEGMENT) -> Dat
             done.append((where, records, size))
 
         for batch in batches:
-            for page, url, payload, refers in zip(batch["page_id"], batch["url"], batch["payload"], batch["refers"]):
+            for page, url, payload, refers, again in zip(batch["page_id"], batch["url"], batch["payload"], batch["refers"], batch["again"]):
                 if out is None:
                     where, size, records = f"{root}/{uuid.uuid4().hex}.warc.gz", 0, 0
                     out = system.open_output_stream(where, compression=None)
-                name = NAME + ("" if pd.isna(page) else str(int(page)))
-                if pd.isna(page):
-                    name += f"null:{uuid.uuid4().hex}"
+                name = NAME + ("null" if pd.isna(page) else str(int(page)))
+                if pd.isna(page) or again is True:
+                    name += f":{uuid.uuid4().hex}"
                 to = None if pd.isna(refers) else NAME + str(int(refers))
                 for raw in page_records(name, url, bytes(payload), sha1_base32(bytes(payload)), to, segment):
                     pack = zlib.compressobj(1, zlib.DEFLATED, 31)
@@ -167,7 +173,7 @@ def write(pages: DataFrame, min_payload: int = 0, segment: int = SEGMENT) -> Dat
             close()
         yield pd.DataFrame(done, columns=["path", "records", "bytes"])
 
-    return scratch.table(named.select(F.col("page_id"), "url", "payload", "refers").mapInPandas(run, "path string, records long, bytes long"), "warc-archives")
+    return scratch.table(named.select("page_id", "url", "payload", "refers", "again").mapInPandas(run, "path string, records long, bytes long"), "warc-archives")
 
 
 def read(archives: DataFrame, uri: str) -> DataFrame:
@@ -208,43 +214,53 @@ def _records(rows: list[tuple]) -> pd.DataFrame:
 def reassemble(records: DataFrame) -> DataFrame:
     """Whole response and revisit records: segments are joined and verified.
 
-    Continuations are grouped by origin id and their parts ordered by number in the JVM; a group holds
-    one page.  A missing part or a wrong total length raises.
+    Segments are grouped by origin id and joined in the order of their numbers; a group holds one page.
+    A missing part or a wrong total length raises.
     """
     whole = records.filter("segment IS NULL").drop("segment", "origin", "total")
     parts = records.filter("segment IS NOT NULL").withColumn("of", F.coalesce("origin", "record_id"))
-    first = lambda c: F.max(F.when(F.col("segment") == 1, F.col(c))).alias(c)
-    joined = parts.groupBy("of").agg(
-        *(first(c) for c in ("record_id", "kind", "target", "digest", "payload_length", "refers_to")),
-        F.sort_array(F.collect_list(F.struct("segment", "block"))).alias("parts"), F.max("total").alias("total"), F.max("segment").alias("last"),
-    )
-    block = F.aggregate("parts", F.lit(b""), lambda a, p: F.concat(a, p["block"]))
-    joined = joined.withColumn("block", block)
-    good = (F.size("parts") == F.col("last")) & F.col("record_id").isNotNull() & (F.octet_length("block") == F.col("total"))
-    checked = joined.withColumn("block", F.when(F.coalesce(good, F.lit(False)), F.col("block")).otherwise(F.raise_error(F.concat(F.lit("segments missing of "), F.col("of")))))
-    return whole.unionByName(checked.select(whole.columns))
+
+    names = whole.columns
+
+    def join(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("segment")
+        head, block = group.iloc[0], b"".join(group["block"])
+        if group["segment"].tolist() != list(range(1, len(group) + 1)) or len(block) != group["total"].max():
+            raise WarcError(f"segments missing of {head['of']}")
+        return pd.DataFrame([{c: block if c == "block" else head[c] for c in names}]).astype({"payload_length": "Int64"})
+
+    return whole.unionByName(parts.groupBy("of").applyInPandas(join, whole.schema))
 
 
 def pages(whole: DataFrame) -> DataFrame:
-    """Per page of whole records its payload's length and digest, taken from the decoded payload (PAGES).
+    """Per page of whole records its payload's length and digest, taken from decoded payloads (PAGES).
 
-    A response whose payload disagrees with its declared digest raises; a revisit has the declared ones.
+    A response whose payload disagrees with its declared digest or length raises.  A revisit has the length and
+    digest of the response that it refers to, found by page and declared digest; without one it raises.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        number = lambda x: None if not x or "null" in x else int(x[len(NAME) :])
+        def number(name: str | None) -> int | None:
+            page = name[len(NAME) :].partition(":")[0] if name else "null"
+            return None if page == "null" else int(page)
+
         for batch in batches:
             rows = []
             for name, kind, digest, length, refers, block in zip(batch["record_id"], batch["kind"], batch["digest"], batch["payload_length"], batch["refers_to"], batch["block"]):
                 if kind == "response":
                     payload = payload_of(bytes(block))
-                    if sha1_base32(payload) != digest:
-                        raise WarcError(f"digest of {name}")
-                    length = len(payload)
+                    if sha1_base32(payload) != digest or len(payload) != length:
+                        raise WarcError(f"digest or length of {name}")
                 rows.append((number(name), int(length), digest, kind, number(refers)))
             yield pd.DataFrame(rows, columns=[x.split()[0] for x in PAGES.split(", ")]).astype({"page_id": "Int64", "refers_to": "Int64"})
 
-    return whole.select("record_id", "kind", "digest", "payload_length", "refers_to", "block").mapInPandas(run, PAGES)
+    slim = scratch.table(whole.select("record_id", "kind", "digest", "payload_length", "refers_to", "block").mapInPandas(run, PAGES), "warc-pages")
+    names = slim.columns
+    responses, revisits = slim.filter("record_type = 'response'"), slim.filter("record_type = 'revisit'")
+    of = responses.select(F.col("page_id").alias("refers_to"), "payload_digest", F.col("payload_bytes").alias("bytes")).distinct()
+    found = revisits.join(of, ["refers_to", "payload_digest"], "left")
+    lost = F.raise_error(F.concat(F.lit("no response for the revisit of page "), F.col("refers_to").cast("string"))).cast("long")
+    return responses.unionByName(found.withColumn("payload_bytes", F.coalesce("bytes", lost)).select(names))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
