@@ -5,6 +5,7 @@ The ids are those that the tokenizers library gives for the file, its added toke
 
 from __future__ import annotations
 
+import base64
 import json
 import re
 from array import array
@@ -36,11 +37,19 @@ def ranked(path: str) -> tuple[dict[bytes, int], dict[str, int]]:
     return {bytes(char[c] for c in t): i for t, i in vocab.items() if t not in added and (len(t) == 1 or all(c in char for c in t))}, added
 
 
+def listed(path: str) -> dict[bytes, int]:
+    """The ranks of a .tiktoken file: a base64 token and its rank in each line."""
+    with open(path, "rb") as f:
+        return {base64.b64decode(t): int(i) for t, i in map(bytes.split, f)}
+
+
 class ByteBPE:
+    """path: a tokenizers file of a byte-level BPE, or a .tiktoken file of ranks without added tokens."""
+
     def __init__(self, path: str):
         import tiktoken
 
-        ranks, self.added = ranked(path)
+        ranks, self.added = (listed(path), {}) if path.endswith(".tiktoken") else ranked(path)
         self.encoding = tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=self.added)
         if max([*ranks.values(), *self.added.values()]) > 65535:
             raise ValueError("ids must fit 16 bits")
