@@ -4,9 +4,10 @@ Vectors are floor(SCALE * x) in every component.  A shard is one task's share of
 KD-tree splits at the median of the widest dimension and each node holds the tight bounding box of
 its vectors.  A box bounds the inner product with q by sum(max(q * low, q * high)).  Best-first
 traversal opens the node of the highest bound and ends when no bound reaches the query's
-kth score; ties count, so that the smaller vec_id wins.  The best leaf starts the bound, and it is
-propagated from each leaf to the next, within a shard only: every shard starts anew.  Queries are
-read in fixed blocks against every shard; only k candidates per query and shard are shuffled.
+kth score; ties count, so that the smaller vec_id wins.  The kth score is propagated from leaf to leaf
+and from shard to shard: a first shard of FIRST candidates gives every query a kth score that it is known
+to reach, and all shards start from it.  Queries are read in fixed blocks against every shard; only
+k candidates per query and shard are shuffled.
 """
 
 from __future__ import annotations
@@ -27,6 +28,8 @@ LEAF = 128
 #: Candidates per shard and queries per block; both bound a task's memory.
 SHARD = 50_000
 BLOCK = 20_000
+#: Candidates of the first shard.
+FIRST = 2048
 
 
 class KDTree:
@@ -106,7 +109,18 @@ def top_k(vectors: DataFrame, k: int = 20, every: int = 20) -> DataFrame:
     asked = rows.filter(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("v").alias("v"))
     blocks = max(1, -(-n // every // BLOCK) + (n > 0))
     asked_at = scratch.path(spark, "topk-queries")
-    asked.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks))).write.partitionBy("block").parquet(asked_at)
+    first = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(FIRST).collect()
+    shared = spark.sparkContext.broadcast(([r["vec_id"] for r in first], [r["v"] for r in first]))
+
+    def start(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        ids, vs = shared.value
+        tree = KDTree(np.array(vs, np.float64).reshape(len(ids), -1), np.array(ids, np.int64)) if ids else None
+        for batch in batches:
+            found = [tree.top(np.asarray(v), i, k)[1] for i, v in zip(batch["vec_id"].tolist(), batch["v"])]
+            yield batch.assign(kth=[float(s[-1]) if len(s) == k else float("-inf") for s in found])
+
+    known = asked.mapInPandas(start, "vec_id long, v array<double>, kth double")
+    known.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks))).write.partitionBy("block").parquet(asked_at)
 
     # each task holds one shard's tree; query blocks are read one after the other from the shared folder
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -118,14 +132,14 @@ def top_k(vectors: DataFrame, k: int = 20, every: int = 20) -> DataFrame:
         def search(ids: list, vs: list) -> Iterator[pd.DataFrame]:
             tree = KDTree(np.stack(vs), np.array(ids, np.int64))
             found = ds.dataset(root, filesystem=system, format="parquet", exclude_invalid_files=False)
-            for part in found.to_batches(columns=["vec_id", "v"], batch_size=1024):
+            for part in found.to_batches(columns=["vec_id", "v", "kth"], batch_size=1024):
                 names = part.column("vec_id").to_numpy()
                 if not len(names):
                     continue
                 queries = part.column("v").flatten().to_numpy().reshape(len(names), -1)
                 q, i, s = [], [], []
-                for name, query in zip(names.tolist(), queries):
-                    got, score = tree.top(query, name, k)
+                for name, query, kth in zip(names.tolist(), queries, part.column("kth").to_pylist()):
+                    got, score = tree.top(query, name, k, kth)
                     q.append(np.full(len(got), name, np.int64))
                     i.append(got)
                     s.append(score.astype(np.int64))
