@@ -15,8 +15,9 @@ from __future__ import annotations
 
 import zlib
 from bisect import bisect_right
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from math import isqrt
 
 import numpy as np
 import pandas as pd
@@ -160,13 +161,20 @@ def tokenize(docs: DataFrame, tokenizer_path: str, end_id: int = 0, queue: str =
     return scratch.table(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", source.alias("queue")).mapInPandas(encode, TOKENIZED), "packing")
 
 
-def pack(docs: DataFrame, tokenizer_path: str, window: int = 1024, targets: dict[str, int] | None = None, end_id: int = 0, queue: str = "source") -> DataFrame:
+def tempered(totals: dict[str, int]) -> dict[str, int]:
+    """Target weights by the square root of the queues' sizes, so that small sources come up more often than their share."""
+    return {q: isqrt(n) for q, n in totals.items()}
+
+
+def pack(
+    docs: DataFrame, tokenizer_path: str, window: int = 1024, targets: dict[str, int] | Callable[[dict[str, int]], dict[str, int]] | None = None, end_id: int = 0, queue: str = "source"
+) -> DataFrame:
     """Packs all documents into windows of `window` tokens; one row per piece (PIECES).
 
     docs: doc_id, text and the queue column (absent: one queue).  Extra columns are ignored.
     Null texts are empty and give the end id alone; null queues are the queue ''.  Repeated
-    rows are packed once each.  targets: integer weights by queue, default the queues' own sizes;
-    a queue that is not in it weighs 1.  All windows but the last are full; an empty table gives
+    rows are packed once each.  targets: integer weights by queue or a function that gives them for the
+    queues' sizes, default the sizes themselves; a queue that is not in it weighs 1.  All windows but the last are full; an empty table gives
     no rows.  The number of queues is assumed to fit the driver (one total each); partition
     offsets are broadcast up to BROADCAST_ROWS and joined by a shuffle beyond.
     """
@@ -174,7 +182,7 @@ def pack(docs: DataFrame, tokenizer_path: str, window: int = 1024, targets: dict
     tokens = tokenize(docs, tokenizer_path, end_id, queue)
     sizes = scratch.table(tokens.groupBy("queue", "part").agg(F.sum("n").alias("size")), "packing-sizes")
     totals = {r["queue"]: r["total"] for r in sizes.groupBy("queue").agg(F.sum("size").alias("total")).collect()}
-    plan = Plan(totals, window, targets)
+    plan = Plan(totals, window, targets(totals) if callable(targets) else targets)
     before = Window.partitionBy("queue").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     bases = sizes.select("queue", "part", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("base"))
     if sizes.count() <= BROADCAST_ROWS:
@@ -201,4 +209,4 @@ def pack(docs: DataFrame, tokenizer_path: str, window: int = 1024, targets: dict
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    return pack(spark.read.parquet(f"{sf_dir}/documents.parquet"), public_tokenizers.path("byte_bpe_50k.json"))
+    return pack(spark.read.parquet(f"{sf_dir}/documents.parquet"), public_tokenizers.path("byte_bpe_50k.json"), targets=tempered)
