@@ -2,12 +2,15 @@
 
 For every language a suffix automaton is built from labelled text.  A text is parsed greedily into
 phrases, each the longest match of what follows in the language's automaton; a letter that the
-language lacks is a phrase.  Fewer phrases per character mean a closer language, and the
-language that needs fewest, normalised by its own rate on held-back labelled text, wins.
-
-Text is reduced to lower-case letters and single blanks.  It is parsed in blocks of BLOCK characters
-(no phrase spans two), so that long texts and short ones are parsed side by side by table lookups in
-numpy: one lookup per character and language for thousands of blocks at once.
+language lacks begins a phrase that what follows it continues.  Fewer phrases per character mean a closer language, and the
+language that needs fewest, normalised by its own rate on held-back labelled text, wins (the first by
+name of several).
+
+Text is reduced to lower-case letters and single blanks.  Blocks of BLOCK characters are first parsed side
+by side, each from the automaton's root, by table lookups in numpy: one lookup per character and
+language for thousands of blocks at once.  Then each block is parsed again from the state in which the
+block before it ends, until it meets the state of the first parse, from where on both agree.  So phrases span
+blocks, and the result is that of one parse of the whole text.
 """
 
 from __future__ import annotations
@@ -31,8 +34,9 @@ RATE_CHARS = 20_000
 #: Letters with a column of their own; the rest match nothing.
 ALPHABET = 120
 BLOCK = 512
-#: Blocks parsed at once.
+#: Blocks parsed at once, and characters of a block whose states are kept for the second parse.
 LANES = 8192
+SYNC = 64
 UNKNOWN = "und"
 RESULT = "doc_id long, held_out boolean, lang_pred string, score double"
 
@@ -115,47 +119,104 @@ class CrossParser:
         # one table for all languages; states are premultiplied by the width
         self.flat = np.concatenate([np.where(t < 0, -1, (t + b) * self.width) for t, b in zip(tables, bases)]).astype(np.int32).ravel()
         self.roots = (bases[:-1] * self.width).astype(np.int32)
-
-    def phrases(self, blocks: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-        """Phrases of each block (row of symbols, sorted by descending length) in each language."""
-        n, k = len(blocks), len(self.languages)
-        out = np.ones((n, k), np.int32)
-        live = np.searchsorted(-lengths, -np.arange(1, blocks.shape[1] + 1), side="right")
+        self.first = [np.where((f := self.flat[r : r + self.width]) < 0, r, f) for r in self.roots]  # the state after a phrase's first symbol
+
+    def _run(self, j: int, columns: np.ndarray, live: np.ndarray, state: np.ndarray, keep: int) -> tuple:
+        """(misses, end states, states and misses after each of the first `keep` characters) of blocks parsed from states.
+
+        columns: a row per character, blocks by falling length; live: blocks that have that character.
+        """
+        count = np.zeros(len(state), np.int32)
+        states, counts = np.full((keep, len(state)), -1, np.int32), np.zeros((keep, len(state)), np.int32)
+        first = self.first[j]
+        for at, m in enumerate(live.tolist()):
+            if not m:
+                break
+            c = columns[at, :m]
+            s = self.flat.take(state[:m] + c)
+            miss = s < 0
+            count[:m] += miss
+            state[:m] = np.where(miss, first.take(c), s)
+            if at < keep:
+                states[at, :m], counts[at, :m] = state[:m], count[:m]
+        return count, state, states, counts
+
+    def misses(self, blocks: np.ndarray, lengths: np.ndarray, before: np.ndarray) -> np.ndarray:
+        """Phrases begun inside each block (rows by falling length) in each language.
+
+        before: the row of the block before it in its text, -1 for a text's first.
+        """
+        n, out = len(blocks), np.zeros((len(blocks), len(self.languages)), np.int32)
         columns = np.ascontiguousarray(blocks.T).astype(np.int32)
-        for j in range(k):
-            first = self.flat[self.roots[j] + np.arange(self.width)]
-            first[first < 0] = self.roots[j]
-            state = np.full(n, self.roots[j], np.int32)
-            count = np.zeros(n, np.int32)
-            for at in range(blocks.shape[1]):
-                m = live[at]
-                if not m:
-                    break
-                c = columns[at, :m]
-                s = self.flat.take(state[:m] + c)
-                miss = s < 0
-                count[:m] += miss
-                state[:m] = np.where(miss, first.take(c), s)
-            out[:, j] += count
+        live = np.searchsorted(-lengths, -np.arange(1, blocks.shape[1] + 1), side="right")
+        after = np.full(n, -1)
+        after[before[before >= 0]] = np.flatnonzero(before >= 0)
+        for j in range(len(self.languages)):
+            root = self.roots[j]
+            count, end, states, counts = self._run(j, columns, live, np.full(n, root, np.int32), SYNC)
+            total, alone = count.copy(), end.copy()
+            again = np.flatnonzero((before >= 0) & (end[before] != root))
+            while len(again):
+                changed = []
+                for at in range(0, len(again), LANES):
+                    own = np.sort(again[at : at + LANES])  # by falling length
+                    state, seen, left = end[before[own]].copy(), np.zeros(len(own), np.int32), own
+                    for k in range(min(SYNC, blocks.shape[1])):
+                        going = lengths[left] > k
+                        if not going.all():  # ended without a meeting
+                            stop = ~going
+                            moved = left[stop][end[left[stop]] != state[stop]]
+                            total[left[stop]], end[left[stop]] = seen[stop], state[stop]
+                            changed.append(moved)
+                            left, state, seen = left[going], state[going], seen[going]
+                        if not len(left):
+                            break
+                        c = columns[k, left]
+                        s = self.flat.take(state + c)
+                        miss = s < 0
+                        seen += miss
+                        state = np.where(miss, self.first[j].take(c), s)
+                        met = state == states[k, left]
+                        if met.any():
+                            done = left[met]
+                            total[done] = seen[met] + count[done] - counts[k, done]
+                            changed.append(done[end[done] != alone[done]])
+                            end[done] = alone[done]
+                            left, state, seen = left[~met], state[~met], seen[~met]
+                    if len(left):  # rare: the rest of the block is parsed whole
+                        start = min(SYNC, blocks.shape[1])
+                        rest = np.searchsorted(-lengths[left], -np.arange(start + 1, blocks.shape[1] + 1), side="right")
+                        more, last, _, _ = self._run(j, columns[start:, left], rest, state.copy(), 0)
+                        total[left] = seen + more
+                        changed.append(left[end[left] != last])
+                        end[left] = last
+                moved = np.concatenate(changed) if changed else np.zeros(0, np.int64)
+                again = after[moved]
+                again = again[again >= 0]
+            out[:, j] = total
         return out
 
     def rate_of(self, arrays: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        """(phrases per character by language, characters) of each array of symbols."""
-        owner = np.repeat(np.arange(len(arrays)), [-(-len(a) // BLOCK) for a in arrays])
+        """(phrases per character by language, characters) of each array of symbols; LANES blocks or one text at a time."""
+        n = np.fromiter((len(a) for a in arrays), np.int64, len(arrays))
+        parts = -(-n // BLOCK)
         total = np.zeros((len(arrays), len(self.languages)), np.int64)
-        if len(owner):
-            cuts = [a[i : i + BLOCK] for a in arrays for i in range(0, len(a), BLOCK)]
-            lengths = np.fromiter(map(len, cuts), np.int64, len(cuts))
+        group = np.cumsum(parts) // LANES
+        for own in np.split(np.arange(len(arrays)), np.flatnonzero(np.diff(group)) + 1) if len(arrays) else []:
+            owner = np.repeat(own, parts[own])
+            if not len(owner):
+                continue
+            number = np.arange(len(owner)) - np.repeat(np.cumsum(parts[own]) - parts[own], parts[own])
+            lengths = np.minimum(BLOCK, n[owner] - number * BLOCK)
             order = np.argsort(-lengths, kind="stable")
-            for at in range(0, len(order), LANES):
-                own = order[at : at + LANES]
-                wide = int(lengths[own[0]])
-                block = np.zeros((len(own), wide), np.uint8)
-                for row, i in enumerate(own.tolist()):
-                    block[row, : lengths[i]] = cuts[i]
-                np.add.at(total, owner[own], self.phrases(block, lengths[own]))
-        n = np.fromiter((len(a) for a in arrays), np.int64, len(arrays))
-        return total / np.maximum(n, 1)[:, None], n
+            row = np.empty(len(order), np.int64)
+            row[order] = np.arange(len(order))
+            block = np.zeros((len(order), int(lengths.max())), np.uint8)
+            for at, i in enumerate(order.tolist()):
+                block[at, : lengths[i]] = arrays[owner[i]][number[i] * BLOCK : (number[i] + 1) * BLOCK]
+            before = np.where(number[order] > 0, row[order - 1], -1)
+            np.add.at(total, owner[order], self.misses(block, lengths[order], before))
+        return (total + (n > 0)[:, None]) / np.maximum(n, 1)[:, None], n
 
     def predict(self, texts: list[str | None], reducer: Reducer) -> tuple[list[str], np.ndarray]:
         """(language, score) of each text; UNKNOWN and 0 for a text without a letter."""
