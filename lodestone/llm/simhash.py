@@ -9,10 +9,13 @@ spanning forest of its linked fingerprints, never all pairs.  Components follow
 alternating large-star and small-star rounds over written tables.
 
 The pipeline stage (keep_one) links texts whose sets of five-word shingles have a Jaccard similarity of
-SIMILAR or more, which 64 bits can't tell: such pairs differ by about 10 bits at 0.8, and by far more in
-the tail.  It is exact: sorted in one global order, two such sets share one of the first
-n - ceil(SIMILAR * n) + 1 shingles of each, so a join on these prefixes meets every pair, and each pair
-that can still reach SIMILAR is verified on its whole sets.
+SIMILAR or more, which 64 bits can't tell alone: such pairs differ by about 10 bits at 0.8, and by far more in
+the tail.  First the BK-trees link fingerprints of the five-word shingles; each of these links is verified on
+whole sets.  What they leave apart is found exactly: sorted in one global order, two such sets share one of
+the first n - ceil(SIMILAR * n) + 1 shingles of each, so a join on these prefixes meets every pair.  In each of
+ROUNDS rounds every prefix shingle links the texts that have it to one of them only, a star, and pairs that
+are connected already are left out; then the pairs that are still apart are verified, so that a group of m
+near copies costs m links a round and not m x m.
 """
 
 from __future__ import annotations
@@ -42,6 +45,8 @@ SIMILAR = (4, 5)
 SAMPLE, FREQUENT, COMMON = 16, 4, 200_000
 #: Prefix shingles that a worker hands over at once.
 ROOM = 500_000
+#: Rounds of stars before the remaining pairs are met.
+ROUNDS = 3
 
 
 def _shingles(text: str | None, width: int) -> np.ndarray:
@@ -56,13 +61,17 @@ def _shingles(text: str | None, width: int) -> np.ndarray:
     return np.fromiter((hash64(g, SEED) for g in grams), np.uint64)
 
 
-def fingerprint(text: str | None, width: int = 4) -> int:
-    """SimHash of a whole text: bits set in over half of the XXH64 values of its word shingles."""
-    h = _shingles(text, width)
+def _simhash(h: np.ndarray) -> np.uint64:
+    """The bits set in over half of the hashes."""
     ones = np.zeros(64, np.int64)
     for i in range(0, len(h), 8192):
         ones += np.unpackbits(h[i : i + 8192].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits((2 * ones > len(h)).astype(np.uint8), bitorder="little").view(np.uint64)[0])
+    return np.packbits((2 * ones > len(h)).astype(np.uint8), bitorder="little").view(np.uint64)[0]
+
+
+def fingerprint(text: str | None, width: int = 4) -> int:
+    """SimHash of a whole text: bits set in over half of the XXH64 values of its word shingles."""
+    return int(_simhash(_shingles(text, width)))
 
 
 class BKTree:
@@ -227,9 +236,9 @@ def near_duplicates(docs: DataFrame, width: int = 4, radius: int = RADIUS) -> Da
     return prints.join(member, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def _shingle_set(text: str | None, width: int) -> tuple[int, np.ndarray]:
+def _node(shingles: np.ndarray) -> tuple[int, np.ndarray]:
     """(node, sorted distinct shingles): texts of equal sets have one node."""
-    h = np.unique(_shingles(text, width))
+    h = np.unique(shingles)
     return int.from_bytes(hashlib.md5(h.tobytes()).digest()[:8], "little", signed=True), h
 
 
@@ -239,7 +248,7 @@ def _common(docs: DataFrame, width: int) -> np.ndarray:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for at in range(0, len(batch), 256):
-                sets = [_shingle_set(t, width)[1] for t in batch["text"].iloc[at : at + 256]]
+                sets = [np.unique(_shingles(t, width)) for t in batch["text"].iloc[at : at + 256]]
                 found, times = np.unique(np.concatenate(sets), return_counts=True)
                 yield pd.DataFrame({"s": found.view(np.int64), "times": times})
 
@@ -250,7 +259,7 @@ def _common(docs: DataFrame, width: int) -> np.ndarray:
 
 
 def shingle_sets(docs: DataFrame, width: int) -> DataFrame:
-    """Written table (doc_id, key, node, n, prefix) of each text's set; key: the text's hash; prefix: its first shingles in the order."""
+    """Written table (doc_id, key, node, n, fp, prefix) of each text's set; key: the text's hash; prefix: its first shingles in the order."""
     shared = docs.sparkSession.sparkContext.broadcast(_common(docs, width))
     up, down = SIMILAR
 
@@ -258,19 +267,20 @@ def shingle_sets(docs: DataFrame, width: int) -> DataFrame:
         common = shared.value
 
         def out(rows: list[tuple]) -> pd.DataFrame:
-            return pd.DataFrame(rows, columns=["doc_id", "key", "node", "n", "prefix"]).astype({"doc_id": "Int64"})
+            return pd.DataFrame(rows, columns=["doc_id", "key", "node", "n", "fp", "prefix"]).astype({"doc_id": "Int64"})
 
         for batch in batches:
             rows, held = [], 0
             for doc, key, text in zip(batch["doc_id"], batch["key"], batch["text"]):
-                node, h = _shingle_set(text, width)
+                every = _shingles(text, width)
+                node, h = _node(every)
                 if len(common) and len(h):
                     last = common[np.minimum(np.searchsorted(common, h), len(common) - 1)] == h
                     order = np.concatenate([h[~last], h[last]])
                 else:
                     order = h
                 prefix = order[: len(h) - -(-up * len(h) // down) + 1]
-                rows.append((doc, key, node, len(h), prefix.view(np.int64)))
+                rows.append((doc, key, node, len(h), _simhash(every).astype(np.int64), prefix.view(np.int64)))
                 held += len(prefix)
                 if held > ROOM:
                     yield out(rows)
@@ -278,27 +288,12 @@ def shingle_sets(docs: DataFrame, width: int) -> DataFrame:
             yield out(rows)
 
     texts = docs.selectExpr("cast(doc_id as long) doc_id", "xxhash64(text) key", "coalesce(text, '') text")
-    return scratch.table(texts.mapInPandas(run, "doc_id long, key long, node long, n long, prefix array<long>"), "shingle-sets")
+    return scratch.table(texts.mapInPandas(run, "doc_id long, key long, node long, n long, fp long, prefix array<long>"), "shingle-sets")
 
 
-def similar(docs: DataFrame, sets: DataFrame, width: int) -> DataFrame:
-    """Links (a, b) between all nodes of sets whose Jaccard similarity is SIMILAR or more, each once."""
+def _verified(pairs: DataFrame, full: DataFrame) -> DataFrame:
+    """The pairs (a, b) of nodes whose whole sets (node, h) reach SIMILAR."""
     up, down = SIMILAR
-    one = scratch.table(sets.groupBy("node").agg(F.min_by(F.struct("key", "n", "prefix"), "key").alias("x")).select("node", "x.*"), "shingle-nodes")
-    rest = F.col("n") - F.size("prefix")
-    rows = one.select("node", "n", rest.alias("rest"), F.explode("prefix").alias("s"))
-    side = lambda x: rows.select("s", *(F.col(c).alias(c + x) for c in ("node", "n", "rest")))
-    met = side("a").join(side("b"), "s").filter(f"nodea < nodeb AND {down} * least(na, nb) >= {up} * greatest(na, nb)")
-    # what two sets share beyond their prefixes is at most what the longer rest holds
-    able = met.groupBy("nodea", "nodeb", "na", "nb", "resta", "restb").count().filter(f"{up + down} * (count + greatest(resta, restb)) >= {up} * (na + nb)")
-    pairs = scratch.table(able.selectExpr("nodea a", "nodeb b"), "shingle-pairs")
-    wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct().join(one, "node").select("key")
-
-    def whole(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for at in range(0, len(batch), 256):
-                got = [_shingle_set(t, width) for t in batch["text"].iloc[at : at + 256]]
-                yield pd.DataFrame({"node": [g for g, _ in got], "h": [h.tobytes() for _, h in got]})
 
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -309,12 +304,62 @@ def similar(docs: DataFrame, sets: DataFrame, width: int) -> DataFrame:
                 keep.append(down * both >= up * (len(x) + len(y) - both))
             yield batch.loc[keep, ["a", "b"]]
 
-    texts = docs.select("text", F.xxhash64("text").alias("key")).join(wanted, "key", "left_semi").dropDuplicates(["key"]).select("text")
-    full = scratch.table(texts.mapInPandas(whole, "node long, h binary").dropDuplicates(["node"]), "shingle-full")
     both = pairs.join(full.select(F.col("node").alias("a"), F.col("h").alias("ha")), "a").join(full.select(F.col("node").alias("b"), F.col("h").alias("hb")), "b")
     return both.select("a", "b", "ha", "hb").mapInPandas(verify, "a long, b long")
 
 
+def similar(docs: DataFrame, sets: DataFrame, width: int) -> DataFrame:
+    """Links (a, b) between nodes of sets that connect all whose Jaccard similarity is SIMILAR or more.
+
+    Every link is between two such nodes; pairs that others connect need not be among them.
+    """
+    up, down = SIMILAR
+    one = scratch.table(sets.groupBy("node").agg(F.min_by(F.struct("key", "n", "fp", "prefix"), "key").alias("x")).select("node", "x.*"), "shingle-nodes")
+    rest = F.col("n") - F.size("prefix")
+    rows = scratch.table(one.select("node", "n", rest.alias("rest"), F.explode("prefix").alias("s")), "shingle-rows")
+    # only nodes that share a prefix shingle or a near fingerprint with another are ever compared
+    shared = rows.groupBy("s").agg(F.count("*").alias("times")).filter("times > 1").select("s")
+    rows = scratch.table(rows.join(shared, "s", "left_semi"), "shingle-shared")
+    near = scratch.table(links(one.select("fp")), "shingle-near")
+    named = one.groupBy("fp").agg(F.min("node").alias("node"))
+    same = one.join(named.withColumnRenamed("node", "b"), "fp").filter("node <> b").select(F.col("node").alias("a"), "b")
+    close = near.join(named.select(F.col("fp").alias("a"), F.col("node").alias("x")), "a").join(named.select(F.col("fp").alias("b"), F.col("node").alias("y")), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
+    first = scratch.table(same.unionByName(close), "shingle-close")
+    ends = first.select(F.col("a").alias("node")).unionByName(first.select(F.col("b").alias("node"))).unionByName(rows.select("node")).distinct()
+    wanted = ends.join(one, "node").select("key")
+
+    def whole(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for at in range(0, len(batch), 256):
+                got = [_node(_shingles(t, width)) for t in batch["text"].iloc[at : at + 256]]
+                yield pd.DataFrame({"node": [g for g, _ in got], "h": [h.tobytes() for _, h in got]})
+
+    texts = docs.select("text", F.xxhash64("text").alias("key")).join(wanted, "key", "left_semi").dropDuplicates(["key"]).select("text")
+    full = scratch.table(texts.mapInPandas(whole, "node long, h binary").dropDuplicates(["node"]), "shingle-full")
+    found = scratch.table(_verified(first, full), "shingle-links")
+    able = f"{up + down} * (count + greatest(resta, restb)) >= {up} * (na + nb)"  # what two sets share beyond their prefixes is at most what the longer rest holds
+    sized = f"{down} * least(na, nb) >= {up} * greatest(na, nb)"
+    for turn in range(ROUNDS + 1):
+        roots = components(found)
+        at = rows.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")).select("node", "n", "rest", "s", "root")
+        at = scratch.table(at, "shingle-roots")
+        side = lambda x, of: of.select("s", *(F.col(c).alias(c + x) for c in ("node", "n", "rest", "root")))
+        if turn < ROUNDS:
+            # a star per shingle around a node of another order in each round
+            pick = F.min_by(F.struct("node", "n", "rest", "root"), F.xxhash64("node", F.lit(turn)))
+            centre = at.groupBy("s").agg(pick.alias("c")).select("s", "c.*")
+            met = side("a", at).join(side("b", centre), "s").filter(f"roota <> rootb AND {sized}")
+            met = met.selectExpr("least(nodea, nodeb) a", "greatest(nodea, nodeb) b").distinct()
+        else:
+            several = at.groupBy("s").agg((F.min("root") != F.max("root")).alias("apart")).filter("apart").select("s")
+            at = scratch.table(at.join(several, "s", "left_semi"), "shingle-apart")
+            met = side("a", at).join(side("b", at), "s").filter(f"nodea < nodeb AND roota <> rootb AND {sized}")
+            met = met.groupBy("nodea", "nodeb", "na", "nb", "resta", "restb").count().filter(able).selectExpr("nodea a", "nodeb b")
+        more = scratch.table(_verified(met, full), "shingle-more")
+        found = scratch.table(found.unionByName(more), "shingle-links")
+    return found
+
+
 def keep_one(docs: DataFrame, width: int = 5) -> DataFrame:
     """The documents of docs that stay: the one with the smallest doc_id, then text hash, of each component, whole rows.
 
@@ -327,9 +372,10 @@ def keep_one(docs: DataFrame, width: int = 5) -> DataFrame:
     roots = components(similar(named, sets, width)).withColumnRenamed("node", "_node")
     first = F.min(F.struct("doc_id", "key")).alias("first")
     least = sets.groupBy("node").agg(first).join(roots, F.col("node") == F.col("_node"), "left").select("first.*", F.coalesce("root", "node").alias("root"))
-    keep = least.groupBy("root").agg(first).select(F.col("first.doc_id").alias("_keep"), F.col("first.key").alias("_key")).distinct()
-    same = (F.col("doc_id").cast("long") == F.col("_keep")) & (F.xxhash64("text") == F.col("_key"))
-    kept = docs.join(keep, same, "inner").dropDuplicates(["_keep", "_key"]).drop("_keep", "_key")
+    keep = least.groupBy("root").agg(first).select("first.*").distinct()
+    # the row itself travels as one struct, so that no column of docs can clash
+    row = named.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("key"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    kept = row.join(keep, ["doc_id", "key"]).dropDuplicates(["doc_id", "key"]).select("row.*")
     return kept.unionByName(docs.filter("doc_id IS NULL"))
 
 
