@@ -9,6 +9,7 @@ from collections import Counter
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 
 from lodestone.llm import language, packing, quality, rollup, sentencepiece_bpe, sharding, simhash, topk, warc
 from lodestone.llm.byte_bpe import ByteBPE
@@ -18,7 +19,7 @@ BPE = public_tokenizers.path("byte_bpe_50k.json")
 PIECE = public_tokenizers.path("piece_bpe_32k.model")
 
 
-@pytest.mark.parametrize("targets", [None, {"s0": 1, "s1": 3, "": 1}])
+@pytest.mark.parametrize("targets", [None, {"s0": 1, "s1": 3, "": 1}, packing.tempered])
 def test_packing(docs, rows, targets):
     got = packing.pack(docs, BPE, 64, targets).toPandas()
     got = got.sort_values(["sequence_id", "offset"])
@@ -134,12 +135,42 @@ def test_warc(spark):
         assert got[p]["payload_digest"] == base64.b32encode(hashlib.sha1((html or "").encode()).digest()).decode()
 
 
+def test_warc_repeated_rows(spark):
+    big = "<p>" + "b" * 100_000
+    pages = [(5, "u", big), (5, "u", big), (5, "v", "c" * 70_000), (4, "u", big), (None, "u", big), (None, "u", big)]
+    got = warc.pages(warc.reassemble(warc.read(warc.write(spark.createDataFrame(pages, "page_id long, url string, html string")), folder(spark)))).collect()
+    want = [(5, len(big), "response", None)] * 2 + [(5, 70_000, "response", None), (4, len(big), "revisit", 5)] + [(None, len(big), "response", None)] * 2
+    assert sorted(map(str, ((r["page_id"], r["payload_bytes"], r["record_type"], r["refers_to"]) for r in got))) == sorted(map(str, want))
+    empty = spark.createDataFrame([], "page_id long, url string, html string")
+    assert warc.pages(warc.reassemble(warc.read(warc.write(empty), folder(spark)))).isEmpty()
+
+
+def test_warc_broken_archives_are_refused(spark):
+    good = [("a", "response", "u", 1, None, None, "D", 3, None, b"abc"), ("a:2", "continuation", "u", 2, "a", 5, "D", 3, None, b"de")]
+    frame = lambda rows: spark.createDataFrame([tuple(bytearray(x) if isinstance(x, bytes) else x for x in r) for r in rows], warc.RECORDS)
+    assert bytes(warc.reassemble(frame(good)).first()["block"]) == b"abcde"
+    for bad in (good[:1], good[1:], [good[0], good[1][:5] + (6,) + good[1][6:]]):
+        with pytest.raises(Exception, match="segments missing"):
+            warc.reassemble(frame(bad)).collect()
+    with pytest.raises(Exception, match="no response"):
+        warc.pages(frame([("urn:lodestone:page:1", "revisit", "u", None, None, None, "D", 3, "urn:lodestone:page:2", b"")]).drop("segment", "origin", "total")).collect()
+
+
 def test_warc_framing_errors():
     assert warc.unchunked(warc.chunked(b"x" * 20000)) == b"x" * 20000
     with pytest.raises(warc.WarcError):
         warc.unchunked(b"5\r\nabc")
 
 
+def test_topk_ties(spark):
+    rows = [(i, [0.5, float(i % 3) / 64]) for i in range(200)] + [(7, [0.5, 1.0])]  # few distinct scores, a repeated id
+    got = topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), 4).collect()
+    v = [(i, [int(64 * x) for x in e]) for i, e in rows]
+    for q in range(0, 200, 20):
+        best = sorted((-(e[0] * v[q][1][0] + e[1] * v[q][1][1]), i) for i, e in v if i != q)[:4]
+        assert [(-r["score"], r["vec_id"]) for r in sorted((r for r in got if r["query_id"] == q), key=lambda r: r["rank"])] == best
+
+
 def test_topk(spark):
     r = np.random.default_rng(2)
     vectors = r.normal(0, 0.05, (500, 8)).astype(np.float32)
@@ -156,20 +187,61 @@ def test_topk(spark):
 
 def test_quality(spark, docs, rows, empty):
     labels = spark.createDataFrame([(i, 1, 0) for i in range(0, 120, 2)] + [(None, 1, 0)], "doc_id long, quality int, toxic int")
-    got = {r["doc_id"]: r for r in quality.judge(docs, labels).collect()}
+    clash = docs.withColumns({c: F.lit("mine") for c in ("n_words", "kept", "_stratum", "last", "step", "_last", "stats")})
+    out = quality.judge(clash, labels, "own")
+    assert out.columns == [*clash.columns, "own"]
+    got = {r["doc_id"]: r["own"] for r in out.collect()}
     for i, text, *_ in rows:
         w = [x for x in __import__("re").split(r"[\x20\x09-\x0D]+", text or "") if x]
         grams = Counter(zip(w, w[1:], w[2:]))
         hit = {p for j, g in enumerate(zip(w, w[1:], w[2:])) if grams[g] > 1 for p in (j, j + 1, j + 2)}
         assert (got[i]["n_words"], got[i]["n_repeat_words"]) == (len(w), len(hit))
-        assert got[i]["kept"] in (True, False) and (not got[i]["base_failed"] or not got[i]["kept"])
-    assert quality.judge(empty, labels).isEmpty()
+        assert got[i]["kept"] == (len(w) >= 50 and 2 * len(hit) <= len(w))  # too few labels for a certificate
+    assert quality.judge(empty, labels, "own").isEmpty()
 
 
-def test_binomial_tail(spark):
+def test_cutoffs_are_certified_and_control_the_risk(spark, tmp_path):
+    """Thousands of labels: cutoffs bite, equal those of a plain computation, and hold on documents never seen."""
     from math import comb
 
-    from pyspark.sql import functions as F
+    r = random.Random(8)
+
+    def text(good):
+        symbols = min(40, int(r.expovariate(1.2))) if good else r.randint(0, 60)
+        return " ".join([f"w{r.randrange(10**6)}" for _ in range(r.randint(20 if r.random() < 0.01 else 60, 90))] + ["#|#"] * symbols)
+
+    rows = [(i, text(i % 3 != 0), "xx" if i % 5 else "yy", i % 3 != 0) for i in range(9000)]
+    rows += [(10_000 + i, rows[1][1], "yy", True) for i in range(500)]  # copies are one trial
+    df = spark.createDataFrame([x[:3] for x in rows], "doc_id long, text string, lang string").repartition(4)
+    labels = spark.createDataFrame([(i, int(good), 0) for i, _, _, good in rows if i % 2 or i >= 10_000], "doc_id long, quality int, toxic int")
+    for base, alpha in ((True, 0.03), (False, 0.05)):
+        got = {x["doc_id"]: x["own"] for x in quality.judge(df, labels, "own", alpha=alpha, base=base).collect()}
+        for lang in ("xx", "yy"):
+            trials = {t: got[i]["step"] for i, t, g, good in rows if g == lang and good and (i % 2 or i >= 10_000) and not (base and got[i]["base_failed"])}
+            n, last = len(trials), -1
+            for step in range(len(quality.STEPS)):
+                k = sum(s <= step for s in trials.values())
+                if k >= n * alpha or sum(comb(n, j) * alpha**j * (1 - alpha) ** (n - j) for j in range(k + 1)) > quality.DELTA / 2:
+                    break
+                last = step
+            assert 0 <= last < len(quality.STEPS)
+            own = [(got[i], good, i) for i, _, g, good in rows if g == lang]
+            assert all(q["kept"] == (q["step"] > last and not (base and q["base_failed"])) for q, _, _ in own)
+            unseen = [q for q, good, i in own if good and i % 2 == 0 and i < 10_000 and not (base and q["base_failed"])]
+            assert sum(q["step"] <= last for q in unseen) < 1.5 * alpha * len(unseen)
+        assert sum(not got[i]["kept"] for i, _, _, good in rows if not good) > 500
+
+
+def test_quality_stage_keeps_good_documents_and_columns(spark, tmp_path):
+    rows = [(i, " ".join(f"w{i}x{j}" for j in range(80)) + (" #|$%" * 60 if i % 4 == 0 else ""), "en", "mine") for i in range(4000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, n_words string")
+    spark.createDataFrame([(i, int(i % 4 != 0), 0) for i in range(4000)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    got = quality.stage(spark, df, str(tmp_path))
+    assert got.columns == df.columns and {x["doc_id"] for x in got.collect()} == {i for i in range(4000) if i % 4}
+
+
+def test_binomial_tail(spark):
+    from math import comb
 
     df = spark.createDataFrame([(0, 300), (2, 500), (9, 1500)], "k long, n long")
     for r in df.select("k", "n", quality._binomial_tail(F.col("k"), F.col("n"), 0.01).alias("p")).collect():
@@ -237,6 +309,27 @@ def test_keep_one_takes_all_pairs_from_080(spark):
     assert near > 150 and {x["doc_id"] for x in got.collect()} == want
 
 
+def test_parse_in_blocks_equals_a_parse_of_the_whole_text(monkeypatch):
+    monkeypatch.setattr(language, "BLOCK", 8)
+    monkeypatch.setattr(language, "SYNC", 3)
+    monkeypatch.setattr(language, "LANES", 5)
+    r = random.Random(4)
+    line = lambda n, k: np.array([r.randint(0, k) for _ in range(n)], np.uint8)
+    tables = [language.automaton(line(400, 4).tolist(), 6), language.automaton([2, 3] * 60 + [4, 1, 5], 6)]
+    parser = language.CrossParser(["x", "y"], list("abcd"), tables, [1.0, 1.0])
+    arrays = [line(n, 5) for n in (0, 1, 7, 8, 9, 100, 333)] + [np.array([2, 3] * 90, np.uint8), line(50, 3)]
+    rates, _ = parser.rate_of(arrays)
+    for a, got in zip(arrays, rates):
+        for j, t in enumerate(tables):
+            state, count = 0, int(len(a) > 0)
+            for c in a.tolist():
+                if t[state, c] < 0:
+                    count, state = count + 1, max(0, t[0, c])
+                else:
+                    state = t[state, c]
+            assert got[j] * max(len(a), 1) == pytest.approx(count)
+
+
 def _words(seed, n, letters):
     r = random.Random(seed)
     return " ".join("".join(r.choices(letters, k=r.randint(2, 7))) for _ in range(n))
@@ -303,3 +396,29 @@ def test_rollup_revision_and_two_versions(spark, docs, rows):
             want[source or "", lang or "", v, "chars"] += len(t)
     got = {(r["source"], r["lang"], r["tokenizer"], m): r[m] for r in store.totals().collect() for m in rollup.MEASURES}
     assert got == dict(want)
+
+
+def test_empty_tables(spark, empty, tmp_path):
+    import corpus_pipeline
+
+    assert packing.pack(empty, BPE).isEmpty() and sentencepiece_bpe.encode(empty, PIECE).isEmpty()
+    assert rollup.counted(empty, {"v": BPE}).isEmpty() and simhash.keep_one(empty).isEmpty()
+    empty.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).isEmpty()
+
+
+def test_rollup_query_against_brute_force(spark):
+    sf = "/root/testdata/sf0.001"
+    versions = {v: ByteBPE(public_tokenizers.path(f)) for v, f in (("byte_bpe_50k", "byte_bpe_50k.json"), ("byte_bpe_multi_50k", "byte_bpe_multi_50k.tiktoken"))}
+    want = Counter()
+    for r in spark.read.parquet(f"{sf}/documents.parquet").collect():
+        text = r["text"] or ""
+        if r["source"] == rollup.REVISED:
+            text = __import__("re").sub(r"[ \t\n\x0b\f\r]+", " ", text).strip(" ")
+        for v, b in versions.items():
+            key = (r["source"] or "", r["lang"] or "", v)
+            for m, x in (("docs", 1), ("tokens", len(b.ids(text))), ("chars", len(text))):
+                want[(*key, m)] += x
+    got = {(r["source"], r["lang"], r["tokenizer"], m): r[m] for r in rollup.query(spark, sf).collect() for m in rollup.MEASURES}
+    assert got == dict(want)
