@@ -35,6 +35,8 @@ RULES = {
 }
 #: The sequence of tests: all rules at their first cutoff, then all at their second, and so on.
 STEPS = [(r, cuts[d]) for d in range(max(len(c) for *_, c in RULES.values())) for r, (_, _, cuts) in RULES.items() if d < len(cuts)]
+#: Above this many strata their steps are joined by a shuffle, not broadcast.
+BROADCAST_ROWS = 100_000
 SYMBOLS = "#*$%&|<>"
 
 
@@ -143,7 +145,8 @@ def judge(docs: DataFrame, labels: DataFrame, into: str, stratum: str = "lang",
     it.  With base, documents that fail the base rules are no part of the holdout.  Documents in a stratum
     without a certified step, and those of null language where it has none, face the base rules alone.
     labels: doc_id, quality; a document is good if any of its labels is 1, null ids match nothing.  The statistics
-    are written once and read for both the certificates and the verdict; the strata are broadcast, one row each.
+    are written once and read for both the certificates and the verdict; up to BROADCAST_ROWS strata are broadcast,
+    one row each.
     """
     names = list(columns or docs.columns)
     key, last = fresh(docs, "_stratum"), fresh(docs, "_last")
@@ -151,7 +154,9 @@ def judge(docs: DataFrame, labels: DataFrame, into: str, stratum: str = "lang",
     stats = scratch.table(statistics(docs, into).select(*names, into, named.alias(key)), "quality")
     good = labels.filter("quality = 1 AND doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
     slim = stats.filter(~F.col(f"{into}.base_failed") if base else F.lit(True)).select(F.col("doc_id").cast("long").alias("doc_id"), F.col(key).alias("stratum"), f"{into}.print", f"{into}.step")
-    chosen = certified(slim, good, alpha, delta).toDF(key, last)
+    chosen = scratch.table(certified(slim, good, alpha, delta).toDF(key, last), "quality-steps")
+    if chosen.count() <= BROADCAST_ROWS:
+        chosen = F.broadcast(chosen)
     over = F.coalesce(F.col(f"{into}.step") <= F.col(last), F.lit(False))
     joined = stats.join(chosen, key, "left")
     return joined.withColumn(into, F.col(into).withField("kept", ~over & ~F.col(f"{into}.base_failed") if base else ~over)).select(*names, into)
