@@ -28,6 +28,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from lodestone.llm import scratch
 from lodestone.llm.text import lower_ascii
@@ -47,6 +48,8 @@ SAMPLE, FREQUENT, COMMON = 16, 4, 200_000
 ROOM = 500_000
 #: Rounds of stars before the remaining pairs are met.
 ROUNDS = 3
+#: Nodes whose names are broadcast at most, to fetch their texts or sets; more are joined by a shuffle.
+BROADCAST_ROWS = 1_000_000
 
 
 def _shingles(text: str | None, width: int) -> np.ndarray:
@@ -308,55 +311,72 @@ def _verified(pairs: DataFrame, full: DataFrame) -> DataFrame:
     return both.select("a", "b", "ha", "hb").mapInPandas(verify, "a long, b long")
 
 
+def _only(df: DataFrame, names: DataFrame, column: str) -> DataFrame:
+    """The rows of df whose column is in the written table names."""
+    return df.join(F.broadcast(names) if names.count() <= BROADCAST_ROWS else names, column, "left_semi")
+
+
+class _Sets:
+    """Whole shingle sets of nodes, computed from their texts when a pair first needs them."""
+
+    def __init__(self, docs: DataFrame, slim: DataFrame, width: int):
+        self.texts = docs.select("text", F.xxhash64("text").alias("key"))
+        self.slim, self.width, self.full = slim, width, None
+
+    def verified(self, pairs: DataFrame) -> DataFrame:
+        """Written table of the pairs (a, b) of a written table whose whole sets reach SIMILAR."""
+        width = self.width
+        ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+        need = scratch.table(ends, "shingle-need")
+        missing = need if self.full is None else need.join(self.full.select("node"), "node", "left_anti")
+        keys = scratch.table(self.slim.join(missing, "node").select("key"), "shingle-keys")
+
+        def whole(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                for at in range(0, len(batch), 256):
+                    got = [_node(_shingles(t, width)) for t in batch["text"].iloc[at : at + 256]]
+                    yield pd.DataFrame({"node": [g for g, _ in got], "h": [h.tobytes() for _, h in got]})
+
+        texts = _only(self.texts, keys, "key").dropDuplicates(["key"]).select("text")
+        more = scratch.table(texts.mapInPandas(whole, "node long, h binary"), "shingle-full")
+        self.full = more if self.full is None else self.full.unionByName(more)
+        return scratch.table(_verified(pairs, _only(self.full, need, "node")), "shingle-links")
+
+
 def similar(docs: DataFrame, sets: DataFrame, width: int) -> DataFrame:
     """Links (a, b) between nodes of sets that connect all whose Jaccard similarity is SIMILAR or more.
 
     Every link is between two such nodes; pairs that others connect need not be among them.
     """
     up, down = SIMILAR
-    one = scratch.table(sets.groupBy("node").agg(F.min_by(F.struct("key", "n", "fp", "prefix"), "key").alias("x")).select("node", "x.*"), "shingle-nodes")
-    rest = F.col("n") - F.size("prefix")
-    rows = scratch.table(one.select("node", "n", rest.alias("rest"), F.explode("prefix").alias("s")), "shingle-rows")
-    # only nodes that share a prefix shingle or a near fingerprint with another are ever compared
-    shared = rows.groupBy("s").agg(F.count("*").alias("times")).filter("times > 1").select("s")
-    rows = scratch.table(rows.join(shared, "s", "left_semi"), "shingle-shared")
-    near = scratch.table(links(one.select("fp")), "shingle-near")
-    named = one.groupBy("fp").agg(F.min("node").alias("node"))
-    same = one.join(named.withColumnRenamed("node", "b"), "fp").filter("node <> b").select(F.col("node").alias("a"), "b")
+    slim = scratch.table(sets.groupBy("node").agg(F.min("key").alias("key"), F.min("fp").alias("fp")), "shingle-nodes")
+    rows = sets.groupBy("node").agg(F.first(F.struct("n", "prefix")).alias("x")).select("node", "x.n", (F.col("x.n") - F.size("x.prefix")).alias("rest"), F.explode("x.prefix").alias("s"))
+    # only nodes that share a prefix shingle with another are ever compared
+    rows = scratch.table(rows.withColumn("times", F.count("*").over(Window.partitionBy("s"))).filter("times > 1").drop("times"), "shingle-rows")
+    named = slim.groupBy("fp").agg(F.min("node").alias("node"))
+    same = slim.join(named.withColumnRenamed("node", "b"), "fp").filter("node <> b").select(F.col("node").alias("a"), "b")
+    near = links(slim.select("fp"))
     close = near.join(named.select(F.col("fp").alias("a"), F.col("node").alias("x")), "a").join(named.select(F.col("fp").alias("b"), F.col("node").alias("y")), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
-    first = scratch.table(same.unionByName(close), "shingle-close")
-    ends = first.select(F.col("a").alias("node")).unionByName(first.select(F.col("b").alias("node"))).unionByName(rows.select("node")).distinct()
-    wanted = ends.join(one, "node").select("key")
-
-    def whole(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for at in range(0, len(batch), 256):
-                got = [_node(_shingles(t, width)) for t in batch["text"].iloc[at : at + 256]]
-                yield pd.DataFrame({"node": [g for g, _ in got], "h": [h.tobytes() for _, h in got]})
-
-    texts = docs.select("text", F.xxhash64("text").alias("key")).join(wanted, "key", "left_semi").dropDuplicates(["key"]).select("text")
-    full = scratch.table(texts.mapInPandas(whole, "node long, h binary").dropDuplicates(["node"]), "shingle-full")
-    found = scratch.table(_verified(first, full), "shingle-links")
+    whole = _Sets(docs, slim, width)
+    found = whole.verified(scratch.table(same.unionByName(close), "shingle-close"))
     able = f"{up + down} * (count + greatest(resta, restb)) >= {up} * (na + nb)"  # what two sets share beyond their prefixes is at most what the longer rest holds
     sized = f"{down} * least(na, nb) >= {up} * greatest(na, nb)"
+    pair = ["nodea", "nodeb", "na", "nb", "resta", "restb"]
+    side = lambda x, of: of.select("s", *(F.col(c).alias(c + x) for c in ("node", "n", "rest", "root")))
     for turn in range(ROUNDS + 1):
-        roots = components(found)
-        at = rows.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")).select("node", "n", "rest", "s", "root")
-        at = scratch.table(at, "shingle-roots")
-        side = lambda x, of: of.select("s", *(F.col(c).alias(c + x) for c in ("node", "n", "rest", "root")))
+        at = rows.join(components(found), "node", "left").withColumn("root", F.coalesce("root", "node")).select("node", "n", "rest", "s", "root")
+        # shingles whose nodes are all connected have nothing more to give
+        one = Window.partitionBy("s")
+        at = scratch.table(at.withColumn("apart", F.min("root").over(one) != F.max("root").over(one)).filter("apart").drop("apart"), "shingle-roots")
         if turn < ROUNDS:
-            # a star per shingle around a node of another order in each round
-            pick = F.min_by(F.struct("node", "n", "rest", "root"), F.xxhash64("node", F.lit(turn)))
-            centre = at.groupBy("s").agg(pick.alias("c")).select("s", "c.*")
+            # a star per shingle, around the node that comes first in an order of this round's own; the shingles at which
+            # a star meets a node are at most those they share, so what is passed over here is left to the end
+            centre = at.groupBy("s").agg(F.min_by(F.struct("node", "n", "rest", "root"), F.xxhash64("node", F.lit(turn))).alias("c")).select("s", "c.*")
             met = side("a", at).join(side("b", centre), "s").filter(f"roota <> rootb AND {sized}")
-            met = met.selectExpr("least(nodea, nodeb) a", "greatest(nodea, nodeb) b").distinct()
         else:
-            several = at.groupBy("s").agg((F.min("root") != F.max("root")).alias("apart")).filter("apart").select("s")
-            at = scratch.table(at.join(several, "s", "left_semi"), "shingle-apart")
             met = side("a", at).join(side("b", at), "s").filter(f"nodea < nodeb AND roota <> rootb AND {sized}")
-            met = met.groupBy("nodea", "nodeb", "na", "nb", "resta", "restb").count().filter(able).selectExpr("nodea a", "nodeb b")
-        more = scratch.table(_verified(met, full), "shingle-more")
-        found = scratch.table(found.unionByName(more), "shingle-links")
+        pairs = met.groupBy(*pair).count().filter(able).selectExpr("nodea a", "nodeb b")
+        found = scratch.table(found.unionByName(whole.verified(scratch.table(pairs, "shingle-pairs"))), "shingle-found")
     return found
 
 
