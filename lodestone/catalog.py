@@ -199,7 +199,7 @@ r0 AS (SELECT 'supplier:1' AS id, 0 AS hop), r1 AS (SELECT DISTINCT target AS id
 r2 AS (SELECT DISTINCT target AS id, 2 AS hop FROM b JOIN r1 ON source = id WHERE target NOT IN (SELECT id FROM r0 UNION SELECT id FROM r1))
 SELECT * FROM r0 UNION ALL SELECT * FROM r1 UNION ALL SELECT * FROM r2""")
 def _impact(g):
-    return iterative.reach(g.edges, ["supplier:1"], 2)
+    return iterative.reach(g.edges, ["supplier:1"], 2, g.incoming)
 
 
 @on_graph("components", None)
@@ -371,7 +371,7 @@ def _cosine(vectors):
 r AS (SELECT *, row_number() OVER (PARTITION BY code ORDER BY similarity DESC, vec_id) AS n FROM s)
 SELECT vec_id, similarity, code FROM r WHERE n <= 10""")
 def _balanced(vectors):
-    scored = text.cosine_top(vectors, vectors.filter("vec_id = 0").select(F.col("embedding").alias("q")), 2_000_000_000, -1.0)
+    scored = text.cosine(vectors, vectors.filter("vec_id = 0").select(F.col("embedding").alias("q")))
     return text.balanced_top(scored, F.col("label") < 5, 20).select("vec_id", "similarity", "code")
 
 

@@ -56,8 +56,10 @@ def ranking(hits: DataFrame, k: int = 10) -> DataFrame:
 
 def stratified(df: DataFrame, a: str, b: str, value: str) -> DataFrame:
     """Overall, by a, by b and by both, in one pass over grouping sets."""
-    rolled = df.cube(a, b).agg(F.count("*").alias("n"), F.bround(F.avg(value), 4).alias("mean"))
-    return rolled.select(F.coalesce(F.col(a).cast("string"), F.lit("*")).alias("a"), F.coalesce(F.col(b).cast("string"), F.lit("*")).alias("b"), "n", "mean")
+    rolled = df.cube(a, b).agg(F.count("*").alias("n"), F.bround(F.avg(value), 4).alias("mean"), F.grouping(a).alias("all_a"), F.grouping(b).alias("all_b"))
+    # a null stratum is '' and the total is '*'
+    name = lambda c, every: F.when(F.col(every) == 1, "*").otherwise(F.coalesce(F.col(c).cast("string"), F.lit("")))
+    return rolled.select(name(a, "all_a").alias("a"), name(b, "all_b").alias("b"), "n", "mean")
 
 
 def coverage_auc(segments: DataFrame) -> DataFrame:

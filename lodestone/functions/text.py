@@ -63,12 +63,16 @@ def bm25(docs: DataFrame, terms: list[str], k: int) -> DataFrame:
     return low.crossJoin(F.broadcast(stats)).select("doc_id", F.bround(score, 6).alias("score")).orderBy(F.desc("score"), "doc_id").limit(k)
 
 
-def cosine_top(vectors: DataFrame, query: DataFrame, k: int, threshold: float = 0.05) -> DataFrame:
-    """The k vectors most alike to one query vector (a one-row DataFrame with q)."""
+def cosine(vectors: DataFrame, query: DataFrame) -> DataFrame:
+    """(vec_id, label, similarity) of all vectors to one query vector (a one-row DataFrame with q), in no order."""
     dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
     cos = dot("embedding", "q") / F.sqrt(dot("embedding", "embedding") * dot("q", "q"))
-    near = vectors.crossJoin(F.broadcast(query.limit(1))).select("vec_id", "label", F.bround(cos, 6).alias("similarity"))
-    return near.filter(F.col("similarity") >= threshold).orderBy(F.desc("similarity"), "vec_id").limit(k)
+    return vectors.crossJoin(F.broadcast(query.limit(1))).select("vec_id", "label", F.bround(cos, 6).alias("similarity"))
+
+
+def cosine_top(vectors: DataFrame, query: DataFrame, k: int, threshold: float = 0.05) -> DataFrame:
+    """The k vectors most alike to one query vector."""
+    return cosine(vectors, query).filter(F.col("similarity") >= threshold).orderBy(F.desc("similarity"), "vec_id").limit(k)
 
 
 def balanced_top(scored: DataFrame, is_code: Column, k: int) -> DataFrame:

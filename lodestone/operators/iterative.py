@@ -2,59 +2,75 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from lodestone.operators.relational import traversal_value
+from lodestone.sources import scratch
 from lodestone.sources.tables import Graph
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the folder that spark.checkpoint.dir names; a temporary one only where it is unset."""
-    spark = df.sparkSession
-    sc = spark.sparkContext
+    """Reliable checkpoint in the folder that spark.checkpoint.dir names."""
+    sc = df.sparkSession.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="lodestone-"))
+        sc.setCheckpointDir(scratch.folder(df.sparkSession))
     return df.checkpoint()
 
 
-def _transitions(g: Graph) -> tuple[DataFrame, DataFrame]:
+def pagerank(g: Graph, iterations: int = 10, damping: float = 0.85, seeds: list[str] | None = None) -> DataFrame:
+    """(id, score) after fixed iterations; dangling mass and teleport go to the seeds, or to all nodes.
+
+    With u(0) the teleport vector and u(k + 1) the flow of u(k), every iterate is a combination of the u, whose
+    coefficients follow from their sums alone.  So an iteration is one shuffle, without an action for the
+    dangling mass; the combination is made once, at the end.
+    """
     live = g.live
     valued = live.edges.select("source", "target", traversal_value().alias("tv")).filter("tv > 0").groupBy("source", "target").agg(F.sum("tv").alias("tv"))
-    out = valued.groupBy("source").agg(F.sum("tv").alias("total"))
-    steps = checkpoint(valued.join(out, "source").select("source", "target", (F.col("tv") / F.col("total")).alias("share")))
-    return live.nodes.select("id"), steps
-
-
-def pagerank(g: Graph, iterations: int = 10, damping: float = 0.85, seeds: list[str] | None = None) -> DataFrame:
-    """(id, score) after fixed iterations; dangling mass and teleport go to the seeds, or to all nodes."""
-    ids, steps = _transitions(g)
+    share = F.col("tv") / F.sum("tv").over(Window.partitionBy("source"))
+    steps = scratch.table(valued.select("source", "target", share.alias("share")), "steps")
     at = F.col("id").isin(seeds) if seeds else F.lit(True)
+    ids = live.nodes.select("id")
     n = ids.filter(at).count()
     if not n:
         raise ValueError("no active seed")
-    jump = F.when(at, F.lit(1.0 / n)).otherwise(0.0)
-    state = checkpoint(ids.join(steps.select(F.col("source").alias("id")).distinct().withColumn("flows", F.lit(True)), "id", "left").select("id", jump.alias("jump"), F.col("flows").isNull().alias("dangling"), jump.alias("score")))
-    for i in range(iterations):
-        lost = state.agg(F.coalesce(F.sum(F.when(F.col("dangling"), F.col("score"))), F.lit(0.0))).first()[0]
-        flow = state.join(steps, state["id"] == steps["source"]).groupBy(F.col("target").alias("id")).agg(F.sum(F.col("score") * F.col("share")).alias("in"))
-        score = F.col("jump") * (1 - damping + damping * lost) + damping * F.coalesce("in", F.lit(0.0))
-        state = state.join(flow, "id", "left").select("id", "jump", "dangling", score.alias("score"))
-        if i % 3 == 2 or i == iterations - 1:
-            state = checkpoint(state)
-    return state.select("id", "score")
-
-
-def reach(edges: DataFrame, seeds: list[str], hops: int) -> DataFrame:
-    """(id, hop) of the nodes within so many undirected hops of the seeds."""
-    both = edges.select("source", "target").unionByName(edges.select(F.col("target").alias("source"), F.col("source").alias("target"))).distinct()
-    seen = edges.sparkSession.createDataFrame([(s, 0) for s in seeds], "id string, hop int")
-    front = seen
+    state = ids.select("id", F.array(F.when(at, F.lit(1.0 / n)).otherwise(0.0)).alias("u"))
+    for k in range(iterations):
+        last = F.element_at("u", -1)
+        sent = state.filter(last != 0).join(steps, F.col("id") == F.col("source")).groupBy(F.col("target").alias("id")).agg(F.sum(last * F.col("share")).alias("next"))
+        state = state.join(sent, "id", "left").select("id", F.array_append("u", F.coalesce("next", F.lit(0.0))).alias("u"))
+        if k % 5 == 4:
+            state = scratch.table(state, "ranks")
+    sums = state.agg(*(F.coalesce(F.sum(F.col("u")[k]), F.lit(0.0)) for k in range(iterations + 1))).first()
+    held = [1.0] + [0.0] * iterations  # the coefficients of the iterate
+    for _ in range(iterations):
+        lost = sum(held) and sum(h * sums[k] for k, h in enumerate(held)) - sum(h * sums[k + 1] for k, h in enumerate(held[:-1]))
+        held = [1 - damping + damping * lost] + [damping * h for h in held[:-1]]
+    score = sum((F.lit(h) * F.col("u")[k] for k, h in enumerate(held)), F.lit(0.0))
+    return state.select("id", score.alias("score"))
+
+
+#: Nodes of a frontier that are broadcast at most; a larger one is joined by a shuffle.
+BROADCAST_ROWS = 100_000
+
+
+def reach(edges: DataFrame, seeds: list[str], hops: int, incoming: DataFrame | None = None) -> DataFrame:
+    """(id, hop) of the nodes within so many undirected hops of the seeds.
+
+    Only edges at the frontier are read on; incoming: the same edges, laid out by target.  A frontier of checked
+    size is broadcast, so that a hop shuffles the ids it finds and no edges.
+    """
+    spark = edges.sparkSession
+    seen = spark.createDataFrame([(s, 0) for s in seeds], "id string, hop int")
+    front, few = seen, True
+    back = incoming if incoming is not None else edges
     for hop in range(1, hops + 1):
-        front = both.join(front, both["source"] == front["id"]).select(F.col("target").alias("id")).distinct().join(seen, "id", "left_anti").withColumn("hop", F.lit(hop))
-        front = checkpoint(front)
+        at = F.broadcast(front.select("id")) if few else front.select("id")
+        out = edges.select("source", "target").join(at, F.col("source") == F.col("id"), "left_semi").select(F.col("target").alias("id"))
+        into = back.select("source", "target").join(at, F.col("target") == F.col("id"), "left_semi").select(F.col("source").alias("id"))
+        front = scratch.table(out.unionByName(into).distinct().join(seen.select("id"), "id", "left_anti").withColumn("hop", F.lit(hop)), "front")
+        few = hop < hops and front.count() <= BROADCAST_ROWS
         seen = seen.unionByName(front)
     return seen
 

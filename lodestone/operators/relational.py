@@ -18,7 +18,7 @@ def traversal_value() -> Column:
 def relations(g: Graph, target: str, direction: str = "in", relation: str | None = None, limit: int = 50) -> DataFrame:
     """One-hop neighbours of a node: the best edge per neighbour (highest confidence, first wins), with totals."""
     near, far = ("target", "source") if direction == "in" else ("source", "target")
-    own = g.edges.filter(F.col(near) == target)
+    own = (g.by_target if direction == "in" else g.edges).filter(F.col(near) == target)
     if relation:
         own = own.filter(F.col("type") == relation)
     best = Window.partitionBy(far).orderBy(F.desc("confidence"), "ord")
@@ -44,11 +44,14 @@ def resolve(g: Graph, handles: DataFrame) -> DataFrame:
 
 
 def caller_counts(g: Graph, is_test: Column | None = None) -> DataFrame:
-    """Distinct callers of each target of any call or dependency, self edges aside."""
+    """Distinct callers of each target of any call or dependency, self edges aside.
+
+    Pairs are made distinct once and then counted twice, so that no row is expanded per count.
+    """
     test = is_test if is_test is not None else F.col("source").startswith("test")
     used = g.edges.filter((F.col("source") != F.col("target")) & F.col("type").isin("calls", "uses", "imports"))
-    known = used.join(g.nodes.select(F.col("id").alias("source")), "source", "left_semi")
-    return known.groupBy("target").agg(F.count_distinct("source").alias("callers"), F.count_distinct(F.when(~test, F.col("source"))).alias("production_callers"))
+    pairs = used.select("target", "source").distinct().join(g.nodes.select(F.col("id").alias("source")), "source", "left_semi")
+    return pairs.groupBy("target").agg(F.count("*").alias("callers"), F.count_if(~test).alias("production_callers"))
 
 
 def select(g: Graph, predicate: Column, limit: int) -> DataFrame:
@@ -98,9 +101,10 @@ def best_per_pair(edges: DataFrame) -> DataFrame:
 
 
 def cap_per_relation(edges: DataFrame, caps: dict[str, int], default: int) -> DataFrame:
-    """The first edges of each relation in arrival order; ranks are limited before the sort is complete."""
+    """The first edges of each relation in arrival order; the literal bound lets every task keep only so many per relation before the shuffle."""
+    most = max([default, *caps.values()])
     cap = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for i in caps.items() for x in i]), F.col("type")), F.lit(default))
-    return edges.withColumn("_n", F.row_number().over(Window.partitionBy("type").orderBy("ord"))).filter(F.col("_n") <= cap).drop("_n")
+    return edges.withColumn("_n", F.row_number().over(Window.partitionBy("type").orderBy("ord"))).filter(F.col("_n") <= most).filter(F.col("_n") <= cap).drop("_n")
 
 
 def reserve_per_family(edges: DataFrame, limit: int) -> DataFrame:
@@ -151,11 +155,11 @@ def subsystems(g: Graph, rank: DataFrame, per: int = 2) -> DataFrame:
     """Groups nodes by the first segment of their path: members, summed rank and the top labels."""
     placed = g.nodes.join(rank, "id").withColumn("subsystem", F.substring_index("path", "/", 1))
     top = Window.partitionBy("subsystem").orderBy(F.desc("score"), F.lower("label"), "id")
-    named = placed.withColumn("_n", F.row_number().over(top))
-    return named.groupBy("subsystem").agg(
-        F.count("*").alias("members"), F.bround(F.sum("score"), 4).alias("rank_sum"),
-        F.array_join(F.transform(F.sort_array(F.collect_list(F.when(F.col("_n") <= per, F.struct("_n", "label")))), lambda x: x["label"]), ",").alias("representatives"),
-    )
+    # the bound on the rank keeps `per` rows a task and subsystem before the shuffle
+    named = placed.select("subsystem", "score", "label", "id").withColumn("_n", F.row_number().over(top)).filter(F.col("_n") <= per)
+    best = named.groupBy("subsystem").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("_n", "label"))), lambda x: x["label"]), ",").alias("representatives"))
+    totals = placed.groupBy("subsystem").agg(F.count("*").alias("members"), F.bround(F.sum("score"), 4).alias("rank_sum"))
+    return totals.join(best, "subsystem").select("subsystem", "members", "rank_sum", "representatives")
 
 
 def coupling(g: Graph) -> DataFrame:

@@ -49,10 +49,10 @@ def symmetric(edges: DataFrame) -> DataFrame:
 
 def federate(nodes: DataFrame, project: str, most: int = 8) -> DataFrame:
     """Links consecutive ids that share a label (case aside) across two or more projects and at most `most` ids."""
-    by = Window.partitionBy("key")
     named = nodes.select(F.concat_ws("::", project, "id").alias("gid"), F.lower("label").alias("key"), F.col(project).alias("p"))
-    sized = named.withColumns({"n": F.count("*").over(by), "low": F.min("p").over(by), "high": F.max("p").over(by)}).filter(f"n <= {most} AND low <> high")
-    linked = sized.withColumn("target", F.lead("gid").over(by.orderBy("gid"))).filter("target IS NOT NULL")
+    # labels are counted first, so that a common one is never gathered
+    few = named.groupBy("key").agg(F.count("*").alias("n"), F.min("p").alias("low"), F.max("p").alias("high")).filter(f"n <= {most} AND low <> high")
+    linked = named.join(few.select("key"), "key", "left_semi").withColumn("target", F.lead("gid").over(Window.partitionBy("key").orderBy("gid"))).filter("target IS NOT NULL")
     return linked.select(F.col("gid").alias("source"), "target", F.lit("cross_repo").alias("type"))
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.operators.relational import dedupe
+from lodestone.sources import scratch
 from lodestone.sources.tables import Graph
 
 
@@ -45,11 +46,11 @@ def cypher(g: Graph) -> DataFrame:
 
 
 def safe_overwrite(df: DataFrame, path: str, ratio: float = 0.5, least: int = 25) -> None:
-    """Overwrites a table unless it would shrink below a ratio of the rows now there."""
+    """Overwrites a table unless it would shrink below a ratio of the rows now there; df may read that table."""
     spark = df.sparkSession
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     if hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop):
         before, after = spark.read.parquet(path).count(), df.count()
         if before >= least and after < ratio * before:
             raise ValueError(f"{after} rows would replace {before}")
-    df.write.mode("overwrite").parquet(path)
+    scratch.swap(df, path)

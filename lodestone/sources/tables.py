@@ -5,10 +5,14 @@ The projection is SQL that Spark and DuckDB both run; table names stand in brace
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lodestone.sources import scratch
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem")
 
@@ -42,28 +46,79 @@ WITH = f"nodes AS ({duck(NODES)}), edges AS ({duck(EDGES)})"
 
 @dataclass
 class Graph:
-    """Two DataFrames: nodes (id, label, kind, path, parent, active, ord) and edges (source, target, type, weight, confidence, provenance, ord)."""
+    """Two DataFrames: nodes (id, label, kind, path, parent, active, ord) and edges (source, target, type, weight, confidence, provenance, ord).
+
+    incoming: the same edges in files sorted by target, where a store has them; lookups by target read little of it.
+    living, living_in: edges and incoming without those that touch an inactive node, where a store has marked them.
+    """
 
     nodes: DataFrame
     edges: DataFrame
+    incoming: DataFrame | None = None
+    living: DataFrame | None = None
+    living_in: DataFrame | None = None
+
+    @property
+    def by_target(self) -> DataFrame:
+        return self.edges if self.incoming is None else self.incoming
 
     @cached_property
     def live(self) -> Graph:
         """Without soft-deleted nodes and the edges that touch them."""
         nodes = self.nodes.filter("active")
-        ids = nodes.select("id")
-        edges = self.edges.join(ids.withColumnRenamed("id", "source"), "source", "left_semi").join(ids.withColumnRenamed("id", "target"), "target", "left_semi")
-        return Graph(nodes, edges)
+        if self.living is not None:
+            return Graph(nodes, self.living, self.living_in)
+        return Graph(nodes, _within(self.edges, nodes.select("id")))
+
+
+def _within(edges: DataFrame, ids: DataFrame) -> DataFrame:
+    return edges.join(ids.withColumnRenamed("id", "source"), "source", "left_semi").join(ids.withColumnRenamed("id", "target"), "target", "left_semi")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def graph(spark: SparkSession, sf_dir: str) -> Graph:
+def projected(spark: SparkSession, sf_dir: str) -> Graph:
+    """The projection of the tables, computed anew."""
     tables = {t: table(spark, sf_dir, t) for t in TABLES}
 
     def run(sql: str) -> DataFrame:
         return spark.sql(sql, **{t: df for t, df in tables.items() if "{" + t + "}" in sql})
 
     return Graph(run(NODES), run(EDGES))
+
+
+def write_store(g: Graph, path: str) -> None:
+    """Writes a graph as a store: nodes sorted by id, edges sorted by source and again by target, with liveness marked.
+
+    Equality lookups on an endpoint are pushed down to files whose value ranges exclude nearly all others.
+    """
+    g.nodes.repartitionByRange("id").sortWithinPartitions("id").write.parquet(f"{path}/nodes")
+    active = g.nodes.filter("active").select("id")
+    # an endpoint that is repeated in nodes must not repeat the edge
+    flag = lambda end: active.distinct().select(F.col("id").alias(end), F.lit(True).alias(f"{end}_live"))
+    marked = g.edges.join(flag("source"), "source", "left").join(flag("target"), "target", "left")
+    marked = marked.select(*EDGE, (F.col("source_live") & F.col("target_live")).eqNullSafe(True).alias("live"))
+    marked.repartitionByRange("source", "target", "ord").sortWithinPartitions("source", "target").write.parquet(f"{path}/edges")
+    stored = g.nodes.sparkSession.read.parquet(f"{path}/edges")
+    stored.repartitionByRange("target", "source", "ord").sortWithinPartitions("target", "source").write.parquet(f"{path}/incoming")
+
+
+def read_store(spark: SparkSession, path: str) -> Graph:
+    edges, incoming = (spark.read.parquet(f"{path}/{n}") for n in ("edges", "incoming"))
+    return Graph(spark.read.parquet(f"{path}/nodes"), edges.select(*EDGE), incoming.select(*EDGE), edges.filter("live").select(*EDGE), incoming.filter("live").select(*EDGE))
+
+
+EDGE = ["source", "target", "type", "weight", "confidence", "provenance", "ord"]
+_stores: dict[tuple, str] = {}
+
+
+def graph(spark: SparkSession, sf_dir: str) -> Graph:
+    """The graph of the tables, from a store that is written when the session first asks and again when a table has changed."""
+    key = (spark.sparkContext.applicationId, sf_dir, *(scratch.modified(spark, f"{sf_dir}/{t}.parquet") for t in TABLES))
+    if key not in _stores:
+        path = f"{scratch.folder(spark)}/graph-{uuid.uuid4().hex}"
+        write_store(projected(spark, sf_dir), path)
+        _stores[key] = path
+    return read_store(spark, _stores[key])
