@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -68,3 +69,46 @@ def coverage_auc(segments: DataFrame) -> DataFrame:
     run = segments.withColumns({"y": F.sum("covered").over(order), "x": F.sum("width").over(order)})
     area = run.withColumn("a", F.col("width") * (F.col("y") + F.col("y") - F.col("covered")) / 2)
     return area.groupBy("query").agg(F.bround(F.sum("a") / F.max(F.col("x") * F.col("y")), 6).alias("auc"))
+
+
+def abstention(results: DataFrame, threshold: float) -> DataFrame:
+    """One row: mean utility (1 for a complete answer or a right abstention, else -1) and failure rate at a confidence threshold.
+
+    results: confidence, answerable (null: yes), node_recall, edge_recall, completeness (null: not measured).
+    Rows without a confidence have no utility; an answerable one fails if a measure is below 1, another if it was answered.
+    """
+    measures = [F.coalesce(F.col(c), F.lit(1.0)) for c in ("node_recall", "edge_recall", "completeness")]
+    complete = F.least(*measures) >= 1.0
+    answered = F.col("confidence") >= threshold
+    answerable = F.coalesce("answerable", F.lit(True))
+    right = F.when(answerable, answered & complete).otherwise(~answered)
+    utility = F.when(F.col("confidence").isNotNull(), F.when(right, 1.0).otherwise(-1.0))
+    failed = F.when(answerable, ~complete).otherwise(F.coalesce(answered, F.lit(False)))
+    return results.agg(F.count("*").alias("n"), F.bround(F.avg(utility), 6).alias("utility"), F.bround(F.avg(failed.cast("double")), 6).alias("failure_rate"))
+
+
+def paired_bootstrap(pairs: DataFrame, effect: float, samples: int = 10_000, seed: int = 1337, confidence: float = 0.95) -> dict[str, object]:
+    """Percentile interval of the mean difference b - a of matched tasks (task, a, b), by seeded resampling, and a verdict.
+
+    promote if the whole interval is at least `effect`, reject if it is at most -effect.  One task, one pair:
+    a repeated task raises, as do no pairs.  An evaluation has as many pairs as tasks, which the driver holds.
+    """
+    rows = pairs.filter("a IS NOT NULL AND b IS NOT NULL").orderBy("task").collect()
+    if len({r["task"] for r in rows}) < len(rows):
+        raise ValueError("a task is paired twice")
+    if not rows:
+        raise ValueError("no pairs")
+    d = np.array([r["b"] - r["a"] for r in rows], np.float64)
+    random = np.random.default_rng(seed)
+    means = np.array([d[random.integers(0, len(d), len(d))].mean() for _ in range(samples)])
+    low, high = np.quantile(means, [(1 - confidence) / 2, (1 + confidence) / 2])
+    verdict = "promote" if low >= effect else "reject" if high <= -effect else "inconclusive"
+    return {"tasks": len(d), "mean": float(d.mean()), "low": float(low), "high": float(high), "improved": int((d > 0).sum()), "tied": int((d == 0).sum()), "regressed": int((d < 0).sum()), "verdict": verdict}
+
+
+def link_health(eligible: DataFrame, linked: DataFrame) -> DataFrame:
+    """One row: how many of the eligible ids are linked, the ratio, and sparse below .2, partial below .8, else healthy."""
+    hit = eligible.select("id").distinct().join(linked.select("id").distinct().withColumn("l", F.lit(1)), "id", "left")
+    ratio = F.coalesce(F.try_divide(F.col("linked").cast("double"), F.col("eligible")), F.lit(0.0))
+    status = F.when(F.col("eligible") == 0, "empty").when(ratio < 0.2, "sparse").when(ratio < 0.8, "partial").otherwise("healthy")
+    return hit.agg(F.count("*").alias("eligible"), F.count("l").alias("linked")).select("eligible", "linked", F.bround(ratio, 6).alias("ratio"), status.alias("status"))

@@ -84,3 +84,14 @@ def freshness(files: DataFrame, manifest: DataFrame) -> DataFrame:
     m = manifest.select("path", F.col("hash").alias("known"))
     state = F.when(F.col("known").isNull(), "new").when(F.col("hash").isNull(), "deleted").when(F.col("hash") == F.col("known"), "fresh").otherwise("stale")
     return files.select("path", "hash").join(m, "path", "full_outer").select("path", state.alias("state"))
+
+
+def overlaps(left: DataFrame, right: DataFrame, width: int = 64) -> DataFrame:
+    """(file, a, b, lines) of regions (file, id, lo, hi) of one file that share lines, with how many.
+
+    Regions meet in buckets of `width` lines, so a long file isn't one group; a pair counts in the first bucket they share.
+    """
+    side = lambda df, x: df.select("file", F.col("id").alias(x), F.col("lo").alias(f"lo_{x}"), F.col("hi").alias(f"hi_{x}"), F.explode(F.sequence(F.expr(f"cast(floor(lo / {width}) as long)"), F.expr(f"cast(floor(hi / {width}) as long)"))).alias("bucket"))
+    met = side(left.filter("lo <= hi"), "a").join(side(right.filter("lo <= hi"), "b"), ["file", "bucket"]).filter("lo_a <= hi_b AND lo_b <= hi_a")
+    first = met.filter(F.col("bucket") == F.floor(F.greatest("lo_a", "lo_b") / width))
+    return first.select("file", "a", "b", (F.least("hi_a", "hi_b") - F.greatest("lo_a", "lo_b") + 1).alias("lines"))

@@ -43,14 +43,17 @@ def resolve(g: Graph, handles: DataFrame) -> DataFrame:
     )
 
 
-def caller_counts(g: Graph, is_test: Column | None = None) -> DataFrame:
+def caller_counts(g: Graph, is_test: Column | None = None, known: bool = True) -> DataFrame:
     """Distinct callers of each target of any call or dependency, self edges aside.
 
-    Pairs are made distinct once and then counted twice, so that no row is expanded per count.
+    Pairs are made distinct once and then counted twice, so that no row is expanded per count.  known: count only
+    callers that are nodes.
     """
     test = is_test if is_test is not None else F.col("source").startswith("test")
     used = g.edges.filter((F.col("source") != F.col("target")) & F.col("type").isin("calls", "uses", "imports"))
-    pairs = used.select("target", "source").distinct().join(g.nodes.select(F.col("id").alias("source")), "source", "left_semi")
+    pairs = used.select("target", "source").distinct()
+    if known:
+        pairs = pairs.join(g.nodes.select(F.col("id").alias("source")), "source", "left_semi")
     return pairs.groupBy("target").agg(F.count("*").alias("callers"), F.count_if(~test).alias("production_callers"))
 
 
@@ -167,3 +170,22 @@ def coupling(g: Graph) -> DataFrame:
     place = g.nodes.select("id", F.substring_index("path", "/", 1).alias("s"))
     e = g.edges.join(place.select(F.col("id").alias("source"), F.col("s").alias("from_s")), "source").join(place.select(F.col("id").alias("target"), F.col("s").alias("to_s")), "target")
     return e.filter("from_s <> to_s").groupBy("from_s", "to_s", "type").agg(F.count("*").alias("n"), F.min(F.concat_ws("->", "source", "target")).alias("example"))
+
+
+def trusted(edges: DataFrame, least: float) -> DataFrame:
+    """Edges whose confidence times the trust in their provenance is at least so much."""
+    return edges.filter(F.col("confidence") * ontology.trust() >= least)
+
+
+def relation_ranks(edges: DataFrame, relations: list[str], families: list[str]) -> DataFrame:
+    """(type, place): relations by their position in a policy's relations, then their family's, then by name; one row per relation."""
+    position = lambda c, names: F.coalesce(F.nullif(F.array_position(F.lit(names), c), F.lit(0)), F.lit(999))
+    kinds = edges.select("type").distinct()
+    order = Window.orderBy(position(F.col("type"), relations), position(ontology.family(), families), "type")
+    return kinds.select("type", F.row_number().over(order).alias("place"))
+
+
+def root_folders(nodes: DataFrame, group: str, k: int) -> DataFrame:
+    """The k commonest first segments of paths in each group, with their number and place."""
+    roots = nodes.filter("path <> ''").groupBy(group, F.substring_index("path", "/", 1).alias("root")).agg(F.count("*").alias("n"))
+    return roots.withColumn("place", F.row_number().over(Window.partitionBy(group).orderBy(F.desc("n"), "root"))).filter(F.col("place") <= k)

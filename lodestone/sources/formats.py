@@ -54,3 +54,58 @@ def safe_overwrite(df: DataFrame, path: str, ratio: float = 0.5, least: int = 25
         if before >= least and after < ratio * before:
             raise ValueError(f"{after} rows would replace {before}")
     scratch.swap(df, path)
+
+
+def json_document(g: Graph) -> DataFrame:
+    """The graph as one JSON object per node and edge (column value), in a fixed order, for a text sink or json_lines."""
+    node = F.to_json(F.struct(F.lit("node").alias("record"), "id", "label", "kind", "path", "parent", "active"))
+    edge = F.to_json(F.struct(F.lit("edge").alias("record"), "source", "target", "type", "weight", "confidence", "provenance"))
+    nodes = g.nodes.select(F.lit(0).alias("part"), F.col("ord"), node.alias("value"))
+    edges = g.edges.select(F.lit(1).alias("part"), F.col("ord"), edge.alias("value"))
+    return nodes.unionByName(edges).orderBy("part", "ord", "value").select("value")
+
+
+def json_lines(spark: SparkSession, path: str) -> Graph:
+    """Reads what json_document wrote."""
+    text = "id string, label string, kind string, path string, parent string, active boolean, source string, target string, type string, weight double, confidence double, provenance string, record string"
+    raw = spark.read.text(path).select(F.from_json("value", text).alias("r"), F.monotonically_increasing_id().alias("ord")).select("r.*", "ord")
+    nodes = raw.filter("record = 'node'").select("id", "label", "kind", "path", "parent", "active", "ord")
+    return Graph(nodes, raw.filter("record = 'edge'").select("source", "target", "type", "weight", "confidence", "provenance", "ord"))
+
+
+def graphml(g: Graph) -> DataFrame:
+    """GraphML elements of nodes, then edges (column value); the frame around them is GRAPHML's."""
+
+    def safe(c: str):
+        out = F.coalesce(F.col(c).cast("string"), F.lit(""))
+        for plain, entity in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
+            out = F.replace(out, F.lit(plain), F.lit(entity))
+        return out
+
+    nodes = g.nodes.select(F.concat(F.lit('<node id="'), safe("id"), F.lit('"><data key="label">'), safe("label"), F.lit('</data><data key="kind">'), safe("kind"), F.lit("</data></node>")).alias("value"))
+    edges = g.edges.select(F.concat(F.lit('<edge source="'), safe("source"), F.lit('" target="'), safe("target"), F.lit('"><data key="type">'), safe("type"), F.lit("</data></edge>")).alias("value"))
+    return nodes.unionByName(edges)
+
+
+GRAPHML = (
+    '<graphml xmlns="http://graphml.graphdrawing.org/xmlns"><key id="label" for="node" attr.name="label" attr.type="string"/><key id="kind" for="node" attr.name="kind" attr.type="string"/>'
+    '<key id="type" for="edge" attr.name="type" attr.type="string"/><graph edgedefault="directed">',
+    "</graph></graphml>",
+)
+
+
+def load(spark: SparkSession, path: str) -> Graph:
+    """Reads a graph by the suffix of its path: json, jsonl, csv, tsv, or a folder that is a store."""
+    suffix = path.rstrip("/").rpartition(".")[2].lower()
+    match suffix:
+        case "json":
+            return json_graph(spark, path)
+        case "jsonl":
+            return json_lines(spark, path)
+        case "csv":
+            return edge_list(spark, path)
+        case "tsv":
+            return edge_list(spark, path, "\t")
+    from lodestone.sources.delta import Store
+
+    return Store(spark, path).load()

@@ -72,7 +72,7 @@ class Graph:
 
 
 def _within(edges: DataFrame, ids: DataFrame) -> DataFrame:
-    return edges.join(ids.withColumnRenamed("id", "source"), "source", "left_semi").join(ids.withColumnRenamed("id", "target"), "target", "left_semi")
+    return edges.join(ids.withColumnRenamed("id", "source"), "source", "left_semi").join(ids.withColumnRenamed("id", "target"), "target", "left_semi").select(edges.columns)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

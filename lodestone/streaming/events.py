@@ -30,3 +30,9 @@ def append_log(stream: DataFrame, folder: str, checkpoint: str) -> StreamingQuer
 
 def read_log(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.parquet(folder)
+
+
+def sliding(events: DataFrame, width: str = "2 hours", slide: str = "1 hour", late: str = "10 minutes") -> DataFrame:
+    """Counts per event type in sliding windows; on a stream, events later than `late` are dropped."""
+    at = events.withWatermark("ts", late) if events.isStreaming else events
+    return at.groupBy(F.window("ts", width, slide), "event_type").agg(F.count("*").alias("n")).select(F.col("window.start").alias("start"), "event_type", "n")

@@ -6,7 +6,7 @@ import pytest
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-SOME = ["relations_callers", "caller_counts", "edge_dedupe_first", "two_hop_inference", "pagerank_10it", "delta_replay", "bm25_topk", "calibration_report", "event_session"]
+SOME = ["relations_callers", "caller_counts", "edge_dedupe_first", "two_hop_inference", "pagerank_10it", "delta_replay", "bm25_topk", "calibration_report", "event_session", "predicate_callers", "delta_replay_graph", "bm25f", "region_overlap", "graph_union"]
 
 
 def norm(df, columns):
