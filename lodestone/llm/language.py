@@ -77,8 +77,6 @@ class Reducer:
 
 def automaton(symbols: list[int], width: int) -> np.ndarray:
     """Transitions of the suffix automaton of a sequence: row state, column symbol, -1 none."""
-    size = 2 * len(symbols) + 2
-    to = np.full((size, width), -1, np.int32)
     step: list[dict[int, int]] = [{}]
     link, length, last = [-1], [0], 0
     for c in symbols:
@@ -104,11 +102,12 @@ def automaton(symbols: list[int], width: int) -> np.ndarray:
                     p = link[p]
                 link[q] = link[cur] = clone
         last = cur
+    to = np.full((len(step), width), -1, np.int32)
     for state, edges in enumerate(step):
         for c, target in edges.items():
             to[state, c] = target
     to[:, 0] = -1  # a letter outside the alphabet never matches
-    return to[: len(step)].copy()
+    return to
 
 
 class CrossParser:
@@ -116,8 +115,14 @@ class CrossParser:
         self.languages, self.rates, self.alphabet = languages, np.array(rates), alphabet
         self.width = tables[0].shape[1]
         bases = np.cumsum([0, *(len(t) for t in tables)])
-        # one table for all languages; states are premultiplied by the width
-        self.flat = np.concatenate([np.where(t < 0, -1, (t + b) * self.width) for t, b in zip(tables, bases)]).astype(np.int32).ravel()
+        # one table for all languages; states are premultiplied by the width. Filled in place: the driver builds it
+        whole = np.empty((bases[-1], self.width), np.int32)
+        for t, b in zip(tables, bases.tolist()):
+            part = whole[b : b + len(t)]
+            np.add(t, np.int32(b), out=part)
+            part *= np.int32(self.width)
+            part[t < 0] = -1
+        self.flat = whole.ravel()
         self.roots = (bases[:-1] * self.width).astype(np.int32)
         self.first = [np.where((f := self.flat[r : r + self.width]) < 0, r, f) for r in self.roots]  # the state after a phrase's first symbol
 
