@@ -364,10 +364,12 @@ def similar(docs: DataFrame, sets: DataFrame, width: int) -> DataFrame:
     pair = ["nodea", "nodeb", "na", "nb", "resta", "restb"]
     side = lambda x, of: of.select("s", *(F.col(c).alias(c + x) for c in ("node", "n", "rest", "root")))
     for turn in range(ROUNDS + 1):
+        # what is connected stays so, hence only the rows that a round leaves apart are read by the next
         at = rows.join(components(found), "node", "left").withColumn("root", F.coalesce("root", "node")).select("node", "n", "rest", "s", "root")
         # shingles whose nodes are all connected have nothing more to give
         one = Window.partitionBy("s")
         at = scratch.table(at.withColumn("apart", F.min("root").over(one) != F.max("root").over(one)).filter("apart").drop("apart"), "shingle-roots")
+        rows = at.drop("root")
         if turn < ROUNDS:
             # a star per shingle, around the node that comes first in an order of this round's own; the shingles at which
             # a star meets a node are at most those they share, so what is passed over here is left to the end
