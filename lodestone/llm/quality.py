@@ -151,7 +151,7 @@ def judge(docs: DataFrame, labels: DataFrame, into: str, stratum: str = "lang",
     names = list(columns or docs.columns)
     key, last = fresh(docs, "_stratum"), fresh(docs, "_last")
     named = F.coalesce(F.col(stratum).cast("string"), F.lit("")) if stratum in docs.columns else F.lit("")
-    stats = scratch.table(statistics(docs, into).select(*names, into, named.alias(key)), "quality")
+    stats = scratch.table(statistics(docs, into).select(*names, into, named.alias(key)), "quality", compression="zstd")
     good = labels.filter("quality = 1 AND doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
     slim = stats.filter(~F.col(f"{into}.base_failed") if base else F.lit(True)).select(F.col("doc_id").cast("long").alias("doc_id"), F.col(key).alias("stratum"), f"{into}.print", f"{into}.step")
     chosen = scratch.table(certified(slim, good, alpha, delta).toDF(key, last), "quality-steps")
