@@ -90,10 +90,10 @@ def _delta_replay(g):
 
 
 @on_graph("graph_union", """b AS (SELECT source, target, CASE WHEN ord % 2 = 0 THEN type ELSE 'links' END AS type, 9.0 AS weight, ord FROM edges), u AS (SELECT source, target, type, weight, ord, 0 AS side FROM edges UNION ALL SELECT source, target, type, weight, ord, 1 FROM b)
-SELECT source, target, type, round_even(weight, 6) AS weight FROM (SELECT *, row_number() OVER (PARTITION BY source, target, type ORDER BY side, ord) AS n FROM u) WHERE n = 1""")
+SELECT source, target, type, weight > 5 AS added FROM (SELECT *, row_number() OVER (PARTITION BY source, target, type ORDER BY side, ord) AS n FROM u) WHERE n = 1""")
 def _union(g):
     other = g.edges.withColumns({"type": F.expr("CASE WHEN ord % 2 = 0 THEN type ELSE 'links' END"), "weight": F.lit(9.0)})
-    return mutations.union(g, Graph(g.nodes, other)).edges.select("source", "target", "type", F.bround("weight", 6).alias("weight"))
+    return mutations.union(g, Graph(g.nodes, other)).edges.select("source", "target", "type", (F.col("weight") > 5).alias("added"))
 
 
 @on_graph("graph_overlay", "SELECT CASE WHEN id LIKE 'region:%' THEN active AND id <> 'region:2' ELSE active END AS active, id FROM nodes UNION ALL SELECT true, 'x:0'")
