@@ -14,9 +14,9 @@ first CONTEXT positions are context only, and every token is scored once by batc
 
 Every text is tokenized once.  Counts of words, ids and neighbouring ids come from all training documents.
 The rest of the model is fitted by gradient steps: a first model on whole distinct documents of at most
-WARM_IDS ids and WARM documents, then every partition of the training documents passes over one of SHARE of
-the windows of all its documents, and the parameters are averaged in the cluster, so the work and the data
-gathered grow with the input.
+WARM_IDS ids and WARM documents, then every partition of the training documents passes over all windows of
+all its documents, and the parameters are averaged in the cluster, so the work and the data gathered grow
+with the input.
 """
 
 from __future__ import annotations
@@ -57,17 +57,16 @@ ROOM = 4_000_000
 PIECE = 500_000
 #: Distinct documents and ids that the first model is fitted on at most, and its passes over them.
 WARM, WARM_IDS, WARM_PASSES = 1000, 300_000, 2
-#: The pass over all training documents takes one of SHARE of their windows.
-SHARE = 24
+#: The pass over all training documents takes one of SHARE of their windows: every one.
+SHARE = 1
 RATE, SPARSE_RATE = 5e-3, 0.3
 #: Models averaged at once, and rows of the hashed embedding that travel together.
 FAN, ROWS = 16, 1 << 13
 RESULT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 SPARSE = ("emb", "pair")
 F32 = np.float32
-MASK = np.triu(np.full((SPAN, SPAN), -1e9, F32), 1)[CONTEXT:]
 CAUSAL = np.tri(SPAN, dtype=F32)[CONTEXT:]
-ONES, ONES_WIDE = np.ones(SPAN, F32), np.ones(WIDE, F32)
+ONES_WIDE = np.ones(WIDE, F32)
 
 
 def held_out(doc_id: int) -> bool:
@@ -134,19 +133,36 @@ def _by_group(target: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, n
     return group, target - group * WIDE, order, np.searchsorted(group[order], np.arange(GROUPS + 1))
 
 
-def _softmax(x: np.ndarray) -> np.ndarray:
-    x -= x.max(axis=-1, keepdims=True)
-    np.exp(x, out=x)
-    x /= x.sum(axis=-1, keepdims=True)
-    return x
+def _attend(p: dict[str, np.ndarray], x: np.ndarray, pad: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(inputs, queries, keys, values with a column of ones, weights before they are divided by their sums)."""
+    e = p["emb"].take(x, axis=0)
+    e += p["pair"].take(pairs_of(x), axis=0)
+    e += p["pos"]
+    # one product for the whole batch, instead of three per window
+    qkv = _flat2(e) @ np.concatenate([p["q"] * p["q"].dtype.type(DIM**-0.5), p["k"], p["v"], np.zeros_like(p["v"][:, :1])], axis=1)
+    qkv[:, -1] = 1
+    qkv = qkv.reshape(*x.shape, -1)
+    q, k, v = qkv[:, CONTEXT:, :DIM], qkv[..., DIM : 2 * DIM], qkv[..., 2 * DIM :]
+    a = q @ k.transpose(0, 2, 1)
+    _shift(a, CAUSAL)
+    np.exp(a, out=a)
+    a *= CAUSAL
+    early = np.flatnonzero(pad[:, 0])  # a text's first windows alone reach before it
+    if len(early):
+        a[early] *= ~pad[early, None, :]
+    return e, q, k, v, a
+
+
+def _flat2(t: np.ndarray) -> np.ndarray:
+    return t.reshape(-1, t.shape[-1])
 
 
 def _row_sums(rows: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(distinct rows, sums of d over each, times of each)."""
-    order = np.argsort(rows, kind="stable")
+    order = np.argsort(rows.astype(np.uint16), kind="stable")  # of at most PAIRS rows; 16 bits are sorted by digits
     ranked = rows[order]
     first = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]]))
-    return ranked[first], np.add.reduceat(d[order], first, axis=0), np.diff(np.append(first, len(ranked)))
+    return ranked[first], np.add.reduceat(d.take(order, axis=0), first, axis=0), np.diff(np.append(first, len(ranked)))
 
 
 def gradients(p: dict[str, np.ndarray], bias: tuple[np.ndarray, np.ndarray], x: np.ndarray, pad: np.ndarray, target: np.ndarray, use: np.ndarray) -> tuple[float, dict]:
@@ -155,70 +171,81 @@ def gradients(p: dict[str, np.ndarray], bias: tuple[np.ndarray, np.ndarray], x:
     The gradients of SPARSE parameters are (rows, sums, times); x: windows of input slots, pad: True for
     positions before the text.
     """
-    pair = pairs_of(x)
-    e = p["emb"].take(x, axis=0) + p["pair"].take(pair, axis=0) + p["pos"]
-    late, scale = e[:, CONTEXT:], F32(DIM**-0.5)
-    q, k, v = (late @ p["q"]) * scale, e @ p["k"], e @ p["v"]
-    a = q @ k.transpose(0, 2, 1)
-    a += MASK
-    if pad.any():
-        a += np.where(pad, F32(-1e8), F32(0))[:, None, :]
-    a = _softmax(a)
+    e, q, k, v, a = _attend(p, x, pad)
     c = a @ v
-    own = use[:, CONTEXT:]
-    mine, mixed = late[own], c[own]
+    sums = np.maximum(c[..., DIM:], F32(1e-30))
+    a /= sums
+    c, v = c[..., :DIM] / sums, v[..., :DIM]
+    own = np.flatnonzero(use[:, CONTEXT:])
+    late = np.ascontiguousarray(e[:, CONTEXT:])
+    mine, mixed = _flat2(late).take(own, axis=0), _flat2(c).take(own, axis=0)
     h0 = np.concatenate([mine, mixed @ p["o"]], axis=1)
-    z = h0 @ p["f1"] + p["b1"]
+    z = h0 @ p["f1"]
+    z += p["b1"]
     r = np.maximum(z, 0)
-    h = r @ p["f2"] + mine
-    goal, before = target[:, CONTEXT:][own], x[:, CONTEXT:][own]
+    h = r @ p["f2"]
+    h += mine
+    goal, before = target[:, CONTEXT:].ravel().take(own), x[:, CONTEXT:].ravel().take(own)
     n = len(goal)
     rows = np.arange(n)
     group, within, order, cuts = _by_group(goal)
-    logits = _softmax(h @ p["g"] + bias[0].take(before, axis=0))
-    loss = -float(np.log(logits[rows, group] + 1e-30).sum())
-    logits[rows, group] -= 1
+    logits = h @ p["g"]
+    logits += bias[0].take(before, axis=0)
+    loss = _residuals(logits, rows, group)
     grads: dict = {"g": h.T @ logits, "w": np.zeros_like(p["w"])}
     dh = logits @ p["g"].T
-    ranked, inner, prior = h[order], within[order], before[order]
+    ranked, logits = h.take(order, axis=0), bias[1].reshape(-1, WIDE).take((before * GROUPS + group).take(order), axis=0)
+    spans = [(g, cuts[g], cuts[g + 1]) for g in range(GROUPS) if cuts[g] < cuts[g + 1]]
+    logits = logits.astype(h.dtype, copy=False)
+    for g, i, j in spans:
+        logits[i:j] += ranked[i:j] @ p["w"][g]
+    loss += _residuals(logits, rows, within.take(order))
     back = np.empty_like(ranked)
-    for g in range(GROUPS):
-        i, j = cuts[g], cuts[g + 1]
-        if i == j:
-            continue
-        logits = _softmax(ranked[i:j] @ p["w"][g] + bias[1][prior[i:j], g])
-        at = np.arange(j - i)
-        loss -= float(np.log(logits[at, inner[i:j]] + 1e-30).sum())
-        logits[at, inner[i:j]] -= 1
-        grads["w"][g] = ranked[i:j].T @ logits
-        back[i:j] = logits @ p["w"][g].T
+    for g, i, j in spans:
+        np.matmul(ranked[i:j].T, logits[i:j], out=grads["w"][g])
+        np.matmul(logits[i:j], p["w"][g].T, out=back[i:j])
     dh[order] += back
     grads["f2"] = r.T @ dh
-    dz = (dh @ p["f2"].T) * (z > 0)
+    dz = dh @ p["f2"].T
+    dz *= z > 0
     grads["f1"], grads["b1"] = h0.T @ dz, dz.sum(axis=0)
     dh0 = dz @ p["f1"].T
     grads["o"] = mixed.T @ dh0[:, DIM:]
-    de, dc = np.zeros_like(e), np.zeros_like(c)
-    de[:, CONTEXT:][own] = dh + dh0[:, :DIM]
-    dc[own] = dh0[:, DIM:] @ p["o"].T
-    ds, dv = dc @ v.transpose(0, 2, 1), a.transpose(0, 2, 1) @ dc
-    ds -= (ds * a).sum(axis=-1, keepdims=True)
+    dh += dh0[:, :DIM]
+    dc = np.zeros_like(c)
+    _flat2(dc)[own] = dh0[:, DIM:] @ p["o"].T
+    dqkv = np.zeros((*x.shape, 3 * DIM), e.dtype)
+    ds = dc @ v.transpose(0, 2, 1)
+    ds -= np.einsum("bij,bij->bi", dc, c)[..., None]  # the weighted sum of ds over a position's inputs
     ds *= a
-    dq, dk = (ds @ k) * scale, ds.transpose(0, 2, 1) @ q
-    flat = lambda t: t.reshape(-1, t.shape[-1])
-    grads["q"], grads["k"], grads["v"] = flat(late).T @ flat(dq), flat(e).T @ flat(dk), flat(e).T @ flat(dv)
-    de[:, CONTEXT:] += dq @ p["q"].T
-    de += dk @ p["k"].T
-    de += dv @ p["v"].T
-    grads["pos"] = de.sum(axis=0)
+    dqkv[:, CONTEXT:, :DIM] = ds @ k
+    dqkv[..., DIM : 2 * DIM] = ds.transpose(0, 2, 1) @ q
+    dqkv[..., 2 * DIM :] = a.transpose(0, 2, 1) @ dc
+    scale = e.dtype.type(DIM**-0.5)
+    wide = _flat2(e).T @ _flat2(dqkv)
+    grads["q"], grads["k"], grads["v"] = wide[:, :DIM] * scale, wide[:, DIM : 2 * DIM], wide[:, 2 * DIM :]
+    de = _flat2(dqkv) @ np.concatenate([p["q"] * scale, p["k"], p["v"]], axis=1).T
+    places = np.flatnonzero(use)
+    de[places] += dh
+    grads["pos"] = de.reshape(e.shape).sum(axis=0)
     mean = F32(1 / max(1, n))
     grads = {name: g * mean for name, g in grads.items()}
-    for name, index in (("emb", x), ("pair", pair)):
-        found, sums, times = _row_sums(index.ravel(), flat(de))
+    for name, index in (("emb", x), ("pair", pairs_of(x))):
+        found, sums, times = _row_sums(index.ravel(), de)
         grads[name] = (found, sums * mean, times)
     return loss / max(1, n), grads
 
 
+def _residuals(logits: np.ndarray, rows: np.ndarray, goal: np.ndarray) -> float:
+    """Turns logits into probabilities less one at the goal, in place; returns the loss."""
+    _shift(logits)
+    np.exp(logits, out=logits)
+    logits /= np.maximum(logits @ np.ones((logits.shape[1], 1), logits.dtype), F32(1e-30))
+    loss = -float(np.log(logits[rows, goal] + 1e-30).sum())
+    logits[rows, goal] -= 1
+    return loss
+
+
 class Trainer:
     """Adam for the dense parameters, steps by accumulated squares for the rows of the SPARSE ones, in place."""
 
@@ -242,29 +269,22 @@ class Trainer:
         for n in SPARSE:
             rows, d, times = grads[n]
             square = self.squares[n]
-            square[rows] += (d * d).mean(axis=1, keepdims=True)
-            self.p[n][rows] -= F32(SPARSE_RATE * fall) * d / np.sqrt(square[rows])
+            now = square.take(rows, axis=0)
+            now[:, 0] += np.einsum("ij,ij->i", d, d) * F32(1 / DIM)
+            square[rows] = now
+            d *= F32(SPARSE_RATE * fall) / np.sqrt(now)
+            self.p[n][rows] = self.p[n].take(rows, axis=0) - d
             if n == "pair":
                 self.touched[rows] += times
 
 
 def score_windows(p: dict[str, np.ndarray], bias: tuple[np.ndarray, np.ndarray], x: np.ndarray, pad: np.ndarray, target: np.ndarray, use: np.ndarray) -> np.ndarray:
     """Natural log of the probability of the targets at the positions `use` of the windows' last STRIDE."""
-    e = p["emb"].take(x, axis=0)
-    e += p["pair"].take(pairs_of(x), axis=0)
-    e += p["pos"]
-    late = e[:, CONTEXT:]
-    a = (late @ (p["q"] * F32(DIM**-0.5))) @ (e @ p["k"]).transpose(0, 2, 1)
-    _shift(a)
-    np.exp(a, out=a)
-    a *= CAUSAL
-    early = np.flatnonzero(pad[:, 0])  # a text's first windows alone reach before it
-    if len(early):
-        a[early] *= ~pad[early, None, :]
-    c = a @ (e @ p["v"])
-    c /= np.maximum(a @ ONES[:, None], F32(1e-30))  # sums as products, which are several times faster here
+    e, _, _, v, a = _attend(p, x, pad)
+    c = a @ v
     own = use[:, CONTEXT:]
-    late, c = late[own], c[own]
+    late, c = e[:, CONTEXT:][own], c[own]
+    c = c[:, :DIM] / np.maximum(c[:, DIM:], F32(1e-30))
     z = late @ p["f1"][:DIM]
     z += c @ (p["o"] @ p["f1"][DIM:])
     z += p["b1"]
@@ -293,9 +313,11 @@ def score_windows(p: dict[str, np.ndarray], bias: tuple[np.ndarray, np.ndarray],
     return out
 
 
-def _shift(x: np.ndarray) -> None:
-    """Takes each row's largest value away where some exp would overflow."""
+def _shift(x: np.ndarray, seen: np.ndarray | None = None) -> None:
+    """Takes each row's largest value away where some exp would overflow; values that aren't seen don't count."""
     if x.size and x.max() > 60:
+        if seen is not None:
+            x -= F32(1e9) * (1 - seen)
         x -= x.max(axis=-1, keepdims=True)
 
 
@@ -353,7 +375,7 @@ def fit(p: dict[str, np.ndarray], bias: tuple[np.ndarray, np.ndarray], slots: li
 
 
 class Pass:
-    """One pass over one of SHARE of the windows of texts that come one after the other; TOKENS ids or one text are held."""
+    """One pass over the windows of texts that come one after the other; TOKENS ids or one text are held."""
 
     def __init__(self, p: dict[str, np.ndarray], bias: tuple[np.ndarray, np.ndarray], seed: int):
         self.trainer, self.random = Trainer(p, (bias[0], bias[1].astype(F32))), np.random.default_rng(seed)
@@ -367,7 +389,6 @@ class Pass:
 
     def flush(self) -> None:
         windows = Windows(self.slots)
-        # the windows of all texts are numbered in one line, so every SHARE-th is taken whatever the texts' lengths
         own = self.random.permutation(np.arange(-self.windows % SHARE, len(windows), SHARE))
         self.windows += len(windows)
         for at in range(0, len(own), STEP):

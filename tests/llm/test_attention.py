@@ -113,6 +113,18 @@ def test_one_pass_in_chunks(monkeypatch):
     assert lm.gradients(p, bias, *batch)[0] < before
 
 
+def test_a_pass_learns_from_every_position():
+    _, p, bias, r = small()
+    texts = [r.integers(0, 50, n).astype(np.int32) for n in (1, 16, 0, 17, 300, 5)]
+    taught = lm.Pass(p, bias, 2)
+    for t in texts:
+        taught.add(t)
+    taught.flush()
+    assert taught.trainer.seen == sum(-(-len(t) // lm.STRIDE) for t in texts)
+    windows = lm.Windows(texts)
+    assert taught.trainer.touched.sum() == windows.take(np.arange(len(windows)))[0].size
+
+
 def test_models_are_averaged_by_weight(spark):
     r, n = np.random.default_rng(1), 2 * lm.FAN + 5  # two rounds
     vec, weight = r.random((n, 6)).astype(np.float32), r.random((n, 3)).astype(np.float32)
