@@ -2,12 +2,16 @@
 
 Vectors are floor(SCALE * x) in every component.  A shard is one task's share of the candidates; its
 KD-tree splits at the median of the widest dimension and each node holds the tight bounding box of
-its vectors.  A box bounds the inner product with q by sum(max(q * low, q * high)).  Best-first
-traversal opens the node of the highest bound and ends when no bound reaches the query's
-kth score; ties count, so that the smaller vec_id wins.  The kth score is propagated from leaf to leaf
-and from shard to shard: a first shard of FIRST candidates gives every query a kth score that it is known
-to reach, and all shards start from it.  Queries are read in fixed blocks against every shard; only
-k candidates per query and shard are shuffled.
+its vectors.  A box bounds the inner product with q by sum(max(q * low, q * high)).  Queries that lie close
+together are traversed as a block: best-first, the node opens whose bound exceeds some query's kth score by
+most; a leaf is scored by one matrix product for the queries whose kth score its bound reaches, and the
+traversal ends when no bound reaches any.  Ties count, so that the smaller vec_id wins.  Products are taken in
+32 bits where the vectors' lengths keep every partial sum an exact integer, else in 64.
+
+The kth score is propagated from leaf to leaf and from shard to shard: a first shard of FIRST candidates gives
+every query a kth score that it is known to reach.  Shards beyond SPREAD are searched in rounds, each SPREAD
+times as large as all before, which start from the kth score of the rounds before; so few candidates more than
+k a query and round reach the shuffle, however many shards there are.
 """
 
 from __future__ import annotations
@@ -24,12 +28,16 @@ from pyspark.sql.window import Window
 from lodestone.llm import scratch
 
 SCALE = 64
-LEAF = 128
+LEAF = 1024
+#: Queries traversed together.
+TEAM = 512
 #: Candidates per shard and queries per block; both bound a task's memory.
 SHARD = 50_000
 BLOCK = 20_000
 #: Candidates of the first shard.
 FIRST = 2048
+#: Shards of the first round, and growth of the rounds.
+SPREAD = 16
 
 
 class KDTree:
@@ -57,34 +65,70 @@ class KDTree:
                 stack += [(begin, begin + mid, node, 0), (begin + mid, end, node, 1)]
         self.low, self.high = np.array(self.low), np.array(self.high)
         self.vectors, self.ids = vectors[order], ids[order]
-
-    def bounds(self, query: np.ndarray) -> np.ndarray:
-        """Upper bound of the inner product with each node's box."""
-        return self.high @ np.maximum(query, 0) + self.low @ np.minimum(query, 0)
-
-    def top(self, query: np.ndarray, own: int, k: int, kth: float = -np.inf) -> tuple[np.ndarray, np.ndarray]:
-        """(ids, scores) of the k best, the query's own id aside; kth: a score known to be reached k times."""
-        bound = self.bounds(query)
-        heap, ids, scores = [(-bound[0], 0)], np.zeros(0, np.int64), np.zeros(0)
-        while heap and -heap[0][0] >= kth:
+        self.length = float(np.sqrt((vectors**2).sum(axis=1).max(initial=0)))
+        self.single = self.vectors.astype(np.float32) if self.length < 1 << 24 else None
+
+    def bounds(self, queries: np.ndarray) -> np.ndarray:
+        """Upper bound of the inner product with each node's box, by node and query."""
+        return self.high @ np.maximum(queries, 0).T + self.low @ np.minimum(queries, 0).T
+
+    def top(self, queries: np.ndarray, own: np.ndarray, k: int, kth: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query, id, score) of each query's k best, best first, rows of its own id aside.
+
+        kth: a score that each query is known to reach k times, or -inf; only candidates that reach it are found.
+        """
+        # every partial sum is at most the product of the lengths, so below 2 ** 24 it is exact in 32 bits
+        exact = self.single is not None and self.length * float(np.sqrt((queries**2).sum(axis=1).max())) < 1 << 24
+        vectors, turned = (self.single, queries.T.astype(np.float32)) if exact else (self.vectors, queries.T)
+        turned, kth, bound = np.ascontiguousarray(turned), kth.astype(np.float64), self.bounds(queries)
+        found, held = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))], 0
+
+        def best() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            which, ids, scores = (np.concatenate(x) for x in zip(*found))
+            order = np.lexsort((ids, -scores, which))
+            which = which[order]
+            rank = np.arange(len(which)) - np.searchsorted(which, which)
+            last = rank == k - 1
+            kth[which[last]] = np.maximum(kth[which[last]], scores[order[last]])
+            order, which = order[rank < k], which[rank < k]
+            return which, ids[order], scores[order]
+
+        heap = [(-np.inf, 0)]
+        while heap:
             node = heapq.heappop(heap)[1]
-            left, right = self.kids[node]
-            if left >= 0:
-                for child in (left, right):
-                    if bound[child] >= kth:
-                        heapq.heappush(heap, (-bound[child], child))
+            need = np.flatnonzero(bound[node] >= kth)
+            if not len(need):
+                continue
+            if self.kids[node][0] >= 0:
+                for child in self.kids[node]:
+                    ahead = float((bound[child] - kth).max())
+                    if ahead >= 0:
+                        heapq.heappush(heap, (-ahead, child))
                 continue
             begin, end = self.span[node]
-            dots = self.vectors[begin:end] @ query
-            hit = (dots >= kth) & (self.ids[begin:end] != own)
-            ids, scores = np.concatenate([ids, self.ids[begin:end][hit]]), np.concatenate([scores, dots[hit]])
-            if len(ids) > k:
-                best = np.lexsort((ids, -scores))[:k]
-                ids, scores = ids[best], scores[best]
-            if len(ids) == k:
-                kth = max(kth, scores.min())
-        best = np.lexsort((ids, -scores))[:k]
-        return ids[best], scores[best]
+            dots = vectors[begin:end] @ (turned if len(need) == len(own) else turned[:, need])
+            if end - begin > k and np.isneginf(kth[need]).any():
+                at, col = np.nonzero(self.ids[begin:end, None] == own[need])
+                dots[at, col] = -np.inf
+                kth[need] = np.maximum(kth[need], np.partition(dots, end - begin - k, axis=0)[end - begin - k])
+            hit = np.flatnonzero(dots >= kth[need].astype(dots.dtype))
+            at, col = np.divmod(hit, len(need))
+            which, ids = need[col], self.ids[begin:end][at]
+            other = ids != own[which]
+            found.append((which[other], ids[other], dots.ravel()[hit[other]].astype(np.float64)))
+            held += len(hit)
+            if held > 2 * k * len(own):
+                found, held = [best()], 0
+        return best()
+
+
+def _search(tree: KDTree, names: np.ndarray, queries: np.ndarray, kth: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """tree.top for teams of queries that lie close together; the first array numbers the queries."""
+    near = KDTree(queries, np.arange(len(names)), TEAM).ids
+    for at in range(0, len(near), TEAM):
+        team = near[at : at + TEAM]
+        which, ids, scores = tree.top(queries[team], names[team], k, kth[team])
+        yield team[which], ids, scores
 
 
 def usable(vectors: DataFrame, dimension: int | None = None) -> DataFrame:
@@ -108,7 +152,6 @@ def top_k(vectors: DataFrame, k: int = 20, every: int = 20) -> DataFrame:
     n = rows.count()
     asked = rows.filter(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("v").alias("v"))
     blocks = max(1, -(-n // every // BLOCK) + (n > 0))
-    asked_at = scratch.path(spark, "topk-queries")
     first = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(FIRST).collect()
     shared = spark.sparkContext.broadcast(([r["vec_id"] for r in first], [r["v"] for r in first]))
 
@@ -116,49 +159,74 @@ def top_k(vectors: DataFrame, k: int = 20, every: int = 20) -> DataFrame:
         ids, vs = shared.value
         tree = KDTree(np.array(vs, np.float64).reshape(len(ids), -1), np.array(ids, np.int64)) if ids else None
         for batch in batches:
-            found = [tree.top(np.asarray(v), i, k)[1] for i, v in zip(batch["vec_id"].tolist(), batch["v"])]
-            yield batch.assign(kth=[float(s[-1]) if len(s) == k else float("-inf") for s in found])
+            if not len(batch):
+                continue
+            names, kth = batch["vec_id"].to_numpy(np.int64), np.full(len(batch), -np.inf)
+            for which, _, scores in _search(tree, names, np.stack(batch["v"]), kth.copy(), k):
+                # best first, so a query's kth score is its last, if it has k
+                full = np.flatnonzero(np.bincount(which, minlength=len(kth))[which] == k)
+                kth[which[full[k - 1 :: k]]] = scores[full[k - 1 :: k]]
+            yield batch.assign(kth=kth)
 
     known = asked.mapInPandas(start, "vec_id long, v array<double>, kth double")
-    known.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks))).write.partitionBy("block").parquet(asked_at)
-
-    # each task holds one shard's tree; query blocks are read one after the other from the shared folder
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import pyarrow.dataset as ds
-        from pyarrow import fs
-
-        system, root = fs.FileSystem.from_uri(asked_at)
-
-        def search(ids: list, vs: list) -> Iterator[pd.DataFrame]:
-            tree = KDTree(np.stack(vs), np.array(ids, np.int64))
-            found = ds.dataset(root, filesystem=system, format="parquet", exclude_invalid_files=False)
-            for part in found.to_batches(columns=["vec_id", "v", "kth"], batch_size=1024):
-                names = part.column("vec_id").to_numpy()
-                if not len(names):
-                    continue
-                queries = part.column("v").flatten().to_numpy().reshape(len(names), -1)
-                q, i, s = [], [], []
-                for name, query, kth in zip(names.tolist(), queries, part.column("kth").to_pylist()):
-                    got, score = tree.top(query, name, k, kth)
-                    q.append(np.full(len(got), name, np.int64))
-                    i.append(got)
-                    s.append(score.astype(np.int64))
-                yield pd.DataFrame({"query_id": np.concatenate(q), "vec_id": np.concatenate(i), "score": np.concatenate(s)})
-
-        ids, vs = [], []
-        for batch in batches:
-            ids += batch["vec_id"].tolist()
-            vs += [np.asarray(v, np.float64) for v in batch["v"]]
-            if len(ids) >= SHARD:
+
+    def searched(part: DataFrame, tasks: int, asked_at: str) -> DataFrame:
+        """What the shards of part find for the queries written in asked_at."""
+
+        # each task holds one shard's tree; query blocks are read one after the other from the shared folder
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            import pyarrow.dataset as ds
+            from pyarrow import fs
+
+            system, root = fs.FileSystem.from_uri(asked_at)
+
+            def search(ids: list, vs: list) -> Iterator[pd.DataFrame]:
+                tree = KDTree(np.stack(vs), np.array(ids, np.int64))
+                found = ds.dataset(root, filesystem=system, format="parquet", exclude_invalid_files=False)
+                for batch in found.to_batches(columns=["vec_id", "v", "kth"], batch_size=16 * TEAM):
+                    names = batch.column("vec_id").to_numpy()
+                    if not len(names):
+                        continue
+                    queries = batch.column("v").flatten().to_numpy().reshape(len(names), -1)
+                    for which, got, scores in _search(tree, names, queries, batch.column("kth").to_numpy(), k):
+                        yield pd.DataFrame({"query_id": names[which], "vec_id": got, "score": scores.astype(np.int64)})
+
+            ids, vs = [], []
+            for batch in batches:
+                ids += batch["vec_id"].tolist()
+                vs += [np.asarray(v, np.float64) for v in batch["v"]]
+                if len(ids) >= SHARD:
+                    yield from search(ids, vs)
+                    ids, vs = [], []
+            if ids:
                 yield from search(ids, vs)
-                ids, vs = [], []
-        if ids:
-            yield from search(ids, vs)
-
-    tasks = max(1, min(-(-n // 4096), spark.sparkContext.defaultParallelism)) if n <= SHARD * spark.sparkContext.defaultParallelism else -(-n // SHARD)
-    found = rows.repartition(tasks).mapInPandas(run, "query_id long, vec_id long, score long")
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+        return part.repartition(tasks).mapInPandas(run, "query_id long, vec_id long, score long")
+
+    def written(known: DataFrame) -> str:
+        where = scratch.path(spark, "topk-queries")
+        known.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks))).write.partitionBy("block").parquet(where)
+        return where
+
+    shards = -(-n // SHARD)
+    cuts = [0]
+    while cuts[-1] < shards:
+        cuts.append(min(shards, max(1, SPREAD * cuts[-1]) if shards > SPREAD else shards))
+    bucket, best = F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(max(1, shards))), Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    ranked = lambda found: found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
+    result = None
+    for low, high in zip(cuts, cuts[1:] or [0]):
+        asked_at = written(known)
+        part = rows if high - low == shards else rows.filter((bucket >= low) & (bucket < high))
+        tasks = max(1, high - low, min(-(-n * (high - low) // max(1, shards) // 4096), spark.sparkContext.defaultParallelism))
+        found = searched(part, tasks, asked_at)
+        result = ranked(found if result is None else result.drop("rank").unionByName(found))
+        if high < shards:
+            result = scratch.table(result, "topk-round")
+            reached = result.filter(F.col("rank") == k).select(F.col("query_id").alias("vec_id"), F.col("score").cast("double").alias("reached"))
+            before = spark.read.schema("vec_id long, v array<double>, kth double").parquet(asked_at)
+            known = before.join(reached, "vec_id", "left").select("vec_id", "v", F.greatest("kth", "reached").alias("kth"))
+    return result.select("query_id", "rank", "vec_id", "score")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

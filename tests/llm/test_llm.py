@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import random
+import time
 import zlib
 from collections import Counter
 
@@ -185,6 +186,40 @@ def test_topk(spark):
     assert topk.top_k(spark.createDataFrame([], "vec_id long, embedding array<float>")).isEmpty()
 
 
+def test_topk_in_rounds(spark, monkeypatch):
+    monkeypatch.setattr(topk, "SHARD", 150)  # 14 shards, in rounds of 1, 1, 2, 4 and 6
+    monkeypatch.setattr(topk, "SPREAD", 2)
+    monkeypatch.setattr(topk, "FIRST", 30)
+    r = np.random.default_rng(4)
+    v = np.concatenate([r.normal(0, 0.03, (2000, 6)), 1e7 * r.normal(0, 0.03, (60, 6))])  # the last need 64 bits
+    got = topk.top_k(spark.createDataFrame([(i, x) for i, x in enumerate(v.tolist())], "vec_id long, embedding array<double>"), 7).toPandas()
+    w = np.floor(64 * v).astype(np.int64)
+    assert len(got) == 7 * 103
+    for q, mine in got.groupby("query_id"):
+        s = w @ w[q]
+        want = sorted((-s[i], i) for i in range(len(v)) if i != q)[:7]
+        mine = mine.sort_values("rank")
+        assert list(zip(-mine["score"], mine["vec_id"])) == want
+
+
+def test_topk_costs_about_a_matrix_product():
+    r = np.random.default_rng(5)
+    v = np.floor(64 * r.normal(0, 0.125, (20_000, 64)))
+    names = np.arange(0, 20_000, 20)
+    tree, none = topk.KDTree(v, np.arange(20_000)), np.full(len(names), -np.inf)
+    began = time.process_time()
+    found = list(topk._search(tree, names, v[names], none, 20))
+    took, began = time.process_time() - began, time.process_time()
+    scores = v @ v[names].T
+    scores[names, np.arange(len(names))] = -np.inf
+    want = -np.sort(-np.partition(scores, len(v) - 20, axis=0)[len(v) - 20 :], axis=0)
+    assert took < 3 * (time.process_time() - began)
+    got = np.zeros((20, len(names)))
+    for which, _, score in found:
+        got[:, which[::20]] = score.reshape(-1, 20).T
+    assert (got == want).all()
+
+
 def test_quality(spark, docs, rows, empty):
     labels = spark.createDataFrame([(i, 1, 0) for i in range(0, 120, 2)] + [(None, 1, 0)], "doc_id long, quality int, toxic int")
     clash = docs.withColumns({c: F.lit("mine") for c in ("n_words", "kept", "_stratum", "last", "step", "_last", "stats")})
