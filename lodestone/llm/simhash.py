@@ -6,7 +6,8 @@ BLOCKS - RADIUS of them, so they meet in the shard of some combination of that m
 shard's fingerprints form a BK-tree: children keyed by their Hamming distance to the parent, and a
 search follows only the edges within the radius of its own distance.  A shard emits the links of a
 spanning forest of its linked fingerprints, never all pairs.  Components follow by
-alternating large-star and small-star rounds over written tables.
+alternating large-star and small-star rounds over written tables; FEW links or less go to one task instead,
+since every round's plans stay in the driver's memory for a while.
 
 The pipeline stage (keep_one) links texts whose sets of five-word shingles have a Jaccard similarity of
 SIMILAR or more, which 64 bits can't tell alone: such pairs differ by about 10 bits at 0.8, and by far more in
@@ -48,6 +49,8 @@ SAMPLE, FREQUENT, COMMON = 16, 4, 200_000
 ROOM = 500_000
 #: Rounds of stars before the remaining pairs are met.
 ROUNDS = 3
+#: Links whose components one task finds at most.
+FEW = 2_000_000
 #: Nodes whose names are broadcast at most, to fetch their texts or sets; more are joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
 
@@ -187,14 +190,40 @@ def links(fingerprints: DataFrame, radius: int = RADIUS) -> DataFrame:
     return cold.unionByName(_shard_links(fine, radius))
 
 
+def _roots(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(nodes, the smallest node of each one's component) of links a - b."""
+    nodes, number = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y, root = number[: len(a)], number[len(a) :], np.arange(len(nodes))
+    while len(x):
+        x, y = root[x], root[y]
+        apart = x != y
+        x, y = x[apart], y[apart]
+        np.minimum.at(root, np.maximum(x, y), np.minimum(x, y))
+        while (root != root[root]).any():
+            root = root[root]
+    return nodes, nodes[root]
+
+
+def _components_of_few(edges: DataFrame) -> DataFrame:
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        links = pd.concat([*batches, _links([])])
+        nodes, root = _roots(links["a"].to_numpy(np.int64), links["b"].to_numpy(np.int64))
+        own = nodes != root
+        yield pd.DataFrame({"node": nodes[own], "root": root[own]})
+
+    return scratch.table(edges.coalesce(1).mapInPandas(run, "node long, root long"), "components")
+
+
 def components(edges: DataFrame) -> DataFrame:
-    """(node, root): the smallest node of each node's component, for all nodes of edges (a, b).
+    """(node, root): the smallest node of each node's component, for all nodes of edges (a, b) but that node itself.
 
-    Alternates large-star and small-star; every round is written, and a hub's star is spread over
-    rows, never gathered in a group.  Ends when a round changes nothing.
+    Up to FEW links are one task's work.  Above, alternates large-star and small-star; every round is written,
+    and a hub's star is spread over rows, never gathered in a group.  Ends when a round changes nothing.
     """
     low, high = F.least("a", "b"), F.greatest("a", "b")
     now = scratch.table(edges.filter("a <> b").select(low.alias("a"), high.alias("b")).distinct(), "links")
+    if now.count() <= FEW:
+        return _components_of_few(now)
     seen = None
     while True:
         both = now.select("a", "b").unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))

@@ -89,6 +89,24 @@ def test_simhash_against_all_pairs(spark):
     assert len(list(near)) == len(set(fps)) - len(want)
 
 
+def test_components_of_few_links_take_few_jobs(spark, monkeypatch):
+    r = random.Random(6)
+    pairs = [(i, i + 1) for i in range(-60, -1)] + [(r.randrange(300), r.randrange(300)) for _ in range(150)] + [(900, i) for i in range(901, 930)] + [(2**62, -(2**62)), (5, 5)]
+    root = {x: x for p in pairs for x in p}
+    for _ in root:
+        for a, b in pairs:
+            root[a] = root[b] = min(root[a], root[b])
+    want = {x: m for x, m in root.items() if x != m}
+    edges, context = spark.createDataFrame(pairs, "a long, b long"), spark.sparkContext
+    context.setJobGroup("components", "")
+    assert {r["node"]: r["root"] for r in simhash.components(edges).collect()} == want
+    assert len(context.statusTracker().getJobIdsForGroup("components")) <= 8  # not several a round
+    context.setJobGroup("rest", "")
+    assert simhash.components(edges.filter("a = b")).isEmpty()
+    monkeypatch.setattr(simhash, "FEW", 0)
+    assert {r["node"]: r["root"] for r in simhash.components(edges).collect()} == want
+
+
 def test_simhash_rows(docs, rows, empty):
     got = simhash.near_duplicates(docs).collect()
     assert len(got) == len(rows) and {r["fingerprint"] for r in got if r["doc_id"] in (120, 121, 129)} == {"0" * 16}
