@@ -142,6 +142,24 @@ def test_sentencepiece(docs, rows):
     assert sentencepiece_bpe.encode(docs, PIECE).count() == len(rows)
 
 
+def test_sentencepiece_short_units():
+    import os
+
+    import sentencepiece
+
+    made = os.stat(PIECE).st_mtime_ns
+    sp, mine = sentencepiece.SentencePieceProcessor(model_file=PIECE), sentencepiece_bpe._encoder(PIECE, made)
+    assert sentencepiece_bpe._encoder(PIECE, made) is mine  # a worker's next task finds its cache
+    r = random.Random(7)
+    pieces = r.sample(sorted(mine.model.id_of), 4000) + ["\n", ".", "😀", "\x00", "▁", " "] * 60
+    for _ in range(1500):
+        text = "".join(r.choices(pieces, k=r.randint(1, 12)))
+        ids = sp.encode(text)
+        assert mine.ids(text) == ids and mine.encode(text)[1:] == (len(ids), sp.decode(ids))
+        unit = text[: sentencepiece_bpe.SHORT]
+        assert mine.search_short(unit) == mine.search(unit)
+
+
 def test_warc(spark):
     big = "<p>" + "b" * 100_000
     pages = [(1, "u", "same", "x"), (2, "u", "same", "x"), (3, None, None, "x"), (4, "u", "", "x"), (5, "v\nw", big, "x"), (6, "u", "é", "x"), (None, "u", "same", "x")]
