@@ -69,6 +69,20 @@ CAUSAL = np.tri(SPAN, dtype=F32)[CONTEXT:]
 ONES_WIDE = np.ones(WIDE, F32)
 
 
+def keep_pages() -> None:
+    """Arrays up to 16 MB take the pages of freed ones, of which 64 MB are kept.
+
+    By glibc's defaults the arrays of each step give their pages back and fault new ones in: a quarter of a
+    gradient step's time and two fifths of scoring.
+    """
+    import ctypes
+
+    mallopt = getattr(ctypes.CDLL(None), "mallopt", None)
+    if mallopt:
+        mallopt(-3, 16 << 20)  # M_MMAP_THRESHOLD
+        mallopt(-1, 64 << 20)  # M_TRIM_THRESHOLD
+
+
 def held_out(doc_id: int) -> bool:
     import zlib
 
@@ -160,9 +174,16 @@ def _flat2(t: np.ndarray) -> np.ndarray:
 def _row_sums(rows: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(distinct rows, sums of d over each, times of each)."""
     order = np.argsort(rows.astype(np.uint16), kind="stable")  # of at most PAIRS rows; 16 bits are sorted by digits
-    ranked = rows[order]
+    ranked = rows.take(order)
     first = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]]))
-    return ranked[first], np.add.reduceat(d.take(order, axis=0), first, axis=0), np.diff(np.append(first, len(ranked)))
+    times = np.diff(np.append(first, len(ranked)))
+    sums = d.take(order.take(first), axis=0)  # most rows are met once
+    again = np.flatnonzero(times > 1)
+    if len(again):
+        ends = np.cumsum(times.take(again))
+        inside = np.arange(ends[-1]) + np.repeat(first.take(again) - ends + times.take(again), times.take(again))
+        sums[again] = np.add.reduceat(d.take(order.take(inside), axis=0), ends - times.take(again), axis=0)
+    return ranked[first], sums, times
 
 
 def gradients(p: dict[str, np.ndarray], bias: tuple[np.ndarray, np.ndarray], x: np.ndarray, pad: np.ndarray, target: np.ndarray, use: np.ndarray) -> tuple[float, dict]:
@@ -187,24 +208,27 @@ def gradients(p: dict[str, np.ndarray], bias: tuple[np.ndarray, np.ndarray], x:
     h += mine
     goal, before = target[:, CONTEXT:].ravel().take(own), x[:, CONTEXT:].ravel().take(own)
     n = len(goal)
-    rows = np.arange(n)
     group, within, order, cuts = _by_group(goal)
     logits = h @ p["g"]
     logits += bias[0].take(before, axis=0)
-    loss = _residuals(logits, rows, group)
+    loss = _residuals(logits, group)
     grads: dict = {"g": h.T @ logits, "w": np.zeros_like(p["w"])}
     dh = logits @ p["g"].T
     ranked, logits = h.take(order, axis=0), bias[1].reshape(-1, WIDE).take((before * GROUPS + group).take(order), axis=0)
     spans = [(g, cuts[g], cuts[g + 1]) for g in range(GROUPS) if cuts[g] < cuts[g + 1]]
     logits = logits.astype(h.dtype, copy=False)
+    inner = np.empty_like(logits)
     for g, i, j in spans:
-        logits[i:j] += ranked[i:j] @ p["w"][g]
-    loss += _residuals(logits, rows, within.take(order))
+        np.dot(ranked[i:j], p["w"][g], out=inner[i:j])
+    logits += inner
+    loss += _residuals(logits, within.take(order))
     back = np.empty_like(ranked)
     for g, i, j in spans:
-        np.matmul(ranked[i:j].T, logits[i:j], out=grads["w"][g])
-        np.matmul(logits[i:j], p["w"][g].T, out=back[i:j])
-    dh[order] += back
+        np.dot(ranked[i:j].T, logits[i:j], out=grads["w"][g])
+        np.dot(logits[i:j], p["w"][g].T, out=back[i:j])
+    at = np.empty_like(order)
+    at[order] = np.arange(n)
+    dh += back.take(at, axis=0)
     grads["f2"] = r.T @ dh
     dz = dh @ p["f2"].T
     dz *= z > 0
@@ -236,14 +260,15 @@ def gradients(p: dict[str, np.ndarray], bias: tuple[np.ndarray, np.ndarray], x:
     return loss / max(1, n), grads
 
 
-def _residuals(logits: np.ndarray, rows: np.ndarray, goal: np.ndarray) -> float:
+def _residuals(logits: np.ndarray, goal: np.ndarray) -> float:
     """Turns logits into probabilities less one at the goal, in place; returns the loss."""
     _shift(logits)
     np.exp(logits, out=logits)
     logits /= np.maximum(logits @ np.ones((logits.shape[1], 1), logits.dtype), F32(1e-30))
-    loss = -float(np.log(logits[rows, goal] + 1e-30).sum())
-    logits[rows, goal] -= 1
-    return loss
+    flat, cells = logits.ravel(), np.arange(0, logits.size, logits.shape[1]) + goal
+    own = flat.take(cells)
+    flat[cells] = own - 1
+    return -float(np.log(own + 1e-30).sum())
 
 
 class Trainer:
@@ -251,7 +276,9 @@ class Trainer:
 
     def __init__(self, p: dict[str, np.ndarray], bias: tuple[np.ndarray, np.ndarray]):
         self.p, self.bias, self.t, self.seen = p, bias, 0, 0
-        self.m, self.v = ({n: np.zeros_like(a) for n, a in p.items() if n not in SPARSE} for _ in range(2))
+        # the dense parameters' moments in one line
+        self.dense = [n for n in p if n not in SPARSE]
+        self.m, self.v = np.zeros((2, sum(p[n].size for n in self.dense)), F32)
         self.squares = {n: np.full((len(p[n]), 1), 1e-8, F32) for n in SPARSE}
         self.touched = np.zeros(PAIRS, F32)
 
@@ -262,10 +289,23 @@ class Trainer:
         self.t += 1
         self.seen += len(x)
         fall = 1 - 0.9 * part
-        for n, m in self.m.items():
-            m += F32(0.1) * (grads[n] - m)
-            self.v[n] += F32(0.01) * (grads[n] * grads[n] - self.v[n])
-            self.p[n] -= F32(RATE * fall / (1 - 0.9**self.t)) * m / (np.sqrt(self.v[n] * F32(1 / (1 - 0.99**self.t))) + F32(1e-8))
+        now = np.concatenate([grads[n].ravel() for n in self.dense])
+        self.m *= F32(0.9)
+        self.m += F32(0.1) * now
+        now *= now
+        now *= F32(0.01)
+        self.v *= F32(0.99)
+        self.v += now
+        np.multiply(self.v, F32(1 / (1 - 0.99**self.t)), out=now)
+        np.sqrt(now, out=now)
+        now += F32(1e-8)
+        np.divide(self.m, now, out=now)
+        now *= F32(RATE * fall / (1 - 0.9**self.t))
+        at = 0
+        for n in self.dense:
+            a = self.p[n]
+            a -= now[at : at + a.size].reshape(a.shape)
+            at += a.size
         for n in SPARSE:
             rows, d, times = grads[n]
             square = self.squares[n]
@@ -273,7 +313,8 @@ class Trainer:
             now[:, 0] += np.einsum("ij,ij->i", d, d) * F32(1 / DIM)
             square[rows] = now
             d *= F32(SPARSE_RATE * fall) / np.sqrt(now)
-            self.p[n][rows] = self.p[n].take(rows, axis=0) - d
+            np.subtract(self.p[n].take(rows, axis=0), d, out=d)
+            self.p[n][rows] = d
             if n == "pair":
                 self.touched[rows] += times
 
@@ -282,32 +323,32 @@ def score_windows(p: dict[str, np.ndarray], bias: tuple[np.ndarray, np.ndarray],
     """Natural log of the probability of the targets at the positions `use` of the windows' last STRIDE."""
     e, _, _, v, a = _attend(p, x, pad)
     c = a @ v
-    own = use[:, CONTEXT:]
-    late, c = e[:, CONTEXT:][own], c[own]
+    own = np.flatnonzero(use[:, CONTEXT:])
+    late, c = _flat2(e[:, CONTEXT:]).take(own, axis=0), _flat2(c).take(own, axis=0)
     c = c[:, :DIM] / np.maximum(c[:, DIM:], F32(1e-30))
     z = late @ p["f1"][:DIM]
     z += c @ (p["o"] @ p["f1"][DIM:])
     z += p["b1"]
     h = np.maximum(z, 0, out=z) @ p["f2"]
     h += late
-    goal, before = target[:, CONTEXT:][own], x[:, CONTEXT:][own]
+    goal, before = target[:, CONTEXT:].ravel().take(own), x[:, CONTEXT:].ravel().take(own)
     group, within, order, cuts = _by_group(goal)
     rows = np.arange(len(goal))
     logits = h @ p["g"]
     logits += bias[0].take(before, axis=0)
     _shift(logits)
-    out = logits[rows, group]
+    out = logits.ravel().take(rows * GROUPS + group)
     np.exp(logits, out=logits)
     out -= np.log(logits @ np.ones(GROUPS, F32))
-    h, within = h[order], within[order]
+    h, within = h.take(order, axis=0), within.take(order)
     logits = np.empty((len(goal), WIDE), F32)
     for g in range(GROUPS):
         i, j = cuts[g], cuts[g + 1]
         if i < j:
-            np.matmul(h[i:j], p["w"][g], out=logits[i:j])
-    logits += bias[1].reshape(-1, WIDE).take((before * GROUPS + group)[order], axis=0)
+            np.dot(h[i:j], p["w"][g], out=logits[i:j])
+    logits += bias[1].reshape(-1, WIDE).take((before * GROUPS + group).take(order), axis=0)
     _shift(logits)
-    inner = logits[rows, within]
+    inner = logits.ravel().take(rows * WIDE + within)
     np.exp(logits, out=logits)
     out[order] += inner - np.log(logits @ ONES_WIDE)
     return out
@@ -397,12 +438,9 @@ class Pass:
         self.slots, self.held = [], 0
 
 
-class _Numbers(dict):
-    """Numbers words in the order in which they come."""
-
-    def __missing__(self, word: bytes) -> int:
-        number = self[word] = len(self)
-        return number
+def _cut(values: np.ndarray, where: np.ndarray) -> pa.Array:
+    """The bytes of runs of values, one from each place up to the next."""
+    return pa.Array.from_buffers(pa.binary(), len(where) - 1, [None, pa.py_buffer((where * values.itemsize).astype(np.int32)), pa.py_buffer(values)])
 
 
 def tokenized(docs: DataFrame, tokenizer_path: str) -> DataFrame:
@@ -418,19 +456,20 @@ def tokenized(docs: DataFrame, tokenizer_path: str) -> DataFrame:
         from pyspark import TaskContext
 
         from lodestone.llm.byte_bpe import ByteBPE
+        from lodestone.llm.word_bpe import WordBPE
 
-        bpe, piece = ByteBPE(tokenizer_path), TaskContext.get().partitionId() << 32
-        numbers, times, ids, at = _Numbers(), np.zeros(0, np.int64), np.zeros(65536, np.int64), 0
+        keep_pages()
+        bpe, piece = WordBPE(ByteBPE(tokenizer_path)), TaskContext.get().partitionId() << 32
+        times, ids, at = np.zeros(0, np.int64), np.zeros(65536, np.int64), 0
 
         def table(n: int, **values) -> pa.RecordBatch:
             values["piece"] = np.full(n, piece)
             return pa.RecordBatch.from_arrays([pa.array(values[f.name], f.type) if f.name in values else pa.nulls(n, f.type) for f in ARROW], schema=ARROW)
 
         def words() -> Iterator[pa.RecordBatch]:
-            listed = list(numbers)
-            for i in range(0, len(listed), 100_000):
-                part = listed[i : i + 100_000]
-                h = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, part)), np.int64).reshape(-1, 2)
+            for i in range(0, len(bpe.words), 100_000):
+                part = bpe.words.slice(i, 100_000).to_pylist()
+                h = np.frombuffer(b"".join(xxhash.xxh3_128_digest(word[1:]) for word in part), np.int64).reshape(-1, 2)
                 yield table(len(part), number=np.arange(i, i + len(part)), h1=h[:, 0], h2=h[:, 1], c=times[i : i + len(part)])
             found = np.flatnonzero(ids)
             yield table(len(found), id=found, c=ids[found])
@@ -442,27 +481,20 @@ def tokenized(docs: DataFrame, tokenizer_path: str) -> DataFrame:
             while begin < len(text):
                 # texts of ROOM bytes, one whole text at least
                 end = max(begin + 1, int(np.searchsorted(ends, ends[begin] + ROOM)))
-                low = pc.ascii_lower(text.slice(begin, end - begin))
-                split = pc.ascii_split_whitespace(low)
-                flat, owner = split.flatten(), pc.list_parent_indices(split)
-                full = pc.greater(pc.binary_length(flat), 0)
-                coded, owner = flat.filter(full).cast(pa.binary()).dictionary_encode(), owner.filter(full).to_numpy(zero_copy_only=False)
-                own = np.fromiter(map(numbers.__getitem__, coded.dictionary.to_pylist()), np.int32, len(coded.dictionary))
-                found = own[coded.indices.to_numpy(zero_copy_only=False)] if len(own) else np.zeros(0, np.int32)
-                cuts = np.searchsorted(owner, np.arange(1, end - begin))
+                own, where, found, places = bpe.encode(pc.ascii_lower(text.slice(begin, end - begin)))
                 doc = batch.column("doc_id").slice(begin, end - begin).to_pylist()
                 held = np.array([d is not None and held_out(d) for d in doc], bool)
                 learn = np.array([d is not None for d in doc], bool) & ~held
-                raw = [bpe.encode_bytes(t) for t in low.to_pylist()]
-                taught = np.bincount(found[learn[owner]], minlength=len(numbers))
+                taught = np.bincount(found[learn.repeat(np.diff(places))], minlength=len(bpe.words))
                 taught[: len(times)] += times
                 times = taught
-                ids += np.bincount(np.frombuffer(b"".join(r for r, t in zip(raw, learn) if t), "<u2"), minlength=65536)
-                yield table(end - begin, at=np.arange(at, at + end - begin), doc_id=doc, held=held, learn=learn, ids=raw, words=[w.tobytes() for w in np.split(found, cuts)])
+                ids += np.bincount(own[learn.repeat(np.diff(where))], minlength=65536)
+                yield table(end - begin, at=np.arange(at, at + end - begin), doc_id=doc, held=held, learn=learn, ids=_cut(own.astype("<u2"), where), words=_cut(found, places))
                 at, begin = at + end - begin, end
-                if len(numbers) >= PIECE:
+                if len(bpe.words) >= PIECE:
                     yield from words()
-                    numbers, times, at, piece = _Numbers(), np.zeros(0, np.int64), 0, piece + 1
+                    bpe.clear()
+                    times, at, piece = np.zeros(0, np.int64), 0, piece + 1
                     ids[:] = 0
         yield from words()
 
@@ -482,6 +514,7 @@ def neighbours(learn: DataFrame, shared, size: int) -> np.ndarray:
     """Counts by (slot before, slot) over all rows of learn; at most SLOTS * (SLOTS + 1) numbers reach the driver."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        keep_pages()
         slot, total = shared.value.slot, np.zeros((SLOTS + 1) * SLOTS, np.int64)
         for batch in batches:
             held: list[np.ndarray] = []
@@ -543,6 +576,7 @@ def train(learn: DataFrame, params: dict[str, np.ndarray], bias: tuple[np.ndarra
     def local(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
 
+        keep_pages()
         params, bias, vocab = start.value
         p = {n: a.copy() for n, a in params.items()}
         taught = Pass(p, bias, 2)
@@ -620,6 +654,7 @@ def score(docs: DataFrame, tokenizer_path: str) -> DataFrame:
         id_rows[size - 1] = ends
     vocab = Vocabulary(id_rows, size)
     bias = neighbour_bias(neighbours(learn, spark.sparkContext.broadcast(vocab), size), vocab)
+    keep_pages()
     params = init()
     # copies teach nothing: the first model's documents are distinct, in the order of their hash
     hashed = learn.select(F.xxhash64("ids").alias("h"), (F.octet_length("ids") / 2).alias("n"))
@@ -632,6 +667,7 @@ def score(docs: DataFrame, tokenizer_path: str) -> DataFrame:
     shared = spark.sparkContext.broadcast((params, bias, vocab))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        keep_pages()
         scorer = Scorer(*shared.value)
         for batch in batches:
             done, ids, held = [], [], 0

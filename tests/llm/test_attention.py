@@ -59,6 +59,62 @@ def test_bpe_equals_the_tokenizer(rows):
         assert np.frombuffer(mine.encode_bytes(text), "<u2").tolist() == t.encode(text, add_special_tokens=False).ids
 
 
+def test_bpe_by_words_equals_the_tokenizer(rows):
+    import random
+
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    from lodestone.llm.word_bpe import WordBPE
+
+    r, t, words = random.Random(5), Tokenizer.from_file(BPE), WordBPE(ByteBPE(BPE))
+    atoms = ["a", "the", "'s", "'ll", "é", "日", "12", " ", " ", "  ", "\n", "\r\n", "\u3000", "\xa0", "\x1c", "\x85", "<|endoftext|>", "<|endof", "!?", "\u200b", "😀", "\x00", " " * 9]
+    texts = [x[1] or "" for x in rows] + ["".join(r.choices(atoms, k=r.randint(0, 12))) for _ in range(5000)]
+    texts += ["a" + " " * 20_000 + "x b", "\n " * 9000, "x" * 30_000, "é" * 5000 + " y", "", "a " * 9000]
+    for i in range(0, len(texts), 700):
+        part = texts[i : i + 700]
+        ids, where, numbers, places = words.encode(pa.array(["z", *part]).slice(1))
+        known = words.words.to_pylist()
+        for j, text in enumerate(part):
+            assert ids[where[j] : where[j + 1]].tolist() == t.encode(text, add_special_tokens=False).ids, text[:50]
+            assert [known[n][1:] for n in numbers[places[j] : places[j + 1]]] == text.encode().split()
+
+
+def test_words_are_encoded_once():
+    import pyarrow as pa
+
+    from lodestone.llm.word_bpe import WordBPE
+
+    bpe, seen = ByteBPE(BPE), []
+    words = WordBPE(bpe)
+    ordinary = bpe.ordinary
+    bpe.ordinary = lambda text: seen.append(text) or ordinary(text)
+    for _ in range(3):
+        words.encode(pa.array(["one two three\nfour two"] * 50))
+    assert sum("two" in text for text in seen) == 1
+
+
+def test_steps_and_scores_reuse_their_pages():
+    import resource
+
+    _, p, bias, r = small()
+    lm.keep_pages()
+    windows = lm.Windows([r.integers(0, 50, 20_000).astype(np.int32)])
+    trainer, bias = lm.Trainer(p, bias), (bias[0], bias[1].astype(np.float32))
+    batches = [windows.take(np.arange(at, at + lm.STEP)) for at in range(0, 1000, lm.STEP)]
+
+    def faults(work):
+        for b in batches:
+            work(b)
+        before = resource.getrusage(resource.RUSAGE_SELF).ru_minflt
+        for b in batches:
+            work(b)
+        return (resource.getrusage(resource.RUSAGE_SELF).ru_minflt - before) / len(batches)
+
+    assert faults(lambda b: trainer.step(b, 0.6)) < 100  # 740 before
+    assert faults(lambda b: lm.score_windows(p, bias, *b[:4])) < 100
+
+
 def test_windows_score_each_token_once():
     texts = [np.arange(n).astype(np.int32) for n in (1, 16, 0, 17, 24, 300)]
     x, pad, target, use, text = lm.Windows(texts).take(np.arange(len(lm.Windows(texts))))
