@@ -238,13 +238,14 @@ def gradients(p: dict[str, np.ndarray], bias: tuple[np.ndarray, np.ndarray], x:
     dh += dh0[:, :DIM]
     dc = np.zeros_like(c)
     _flat2(dc)[own] = dh0[:, DIM:] @ p["o"].T
-    dqkv = np.zeros((*x.shape, 3 * DIM), e.dtype)
+    dqkv = np.empty((*x.shape, 3 * DIM), e.dtype)
+    dqkv[:, :CONTEXT, :DIM] = 0
     ds = dc @ v.transpose(0, 2, 1)
     ds -= np.einsum("bij,bij->bi", dc, c)[..., None]  # the weighted sum of ds over a position's inputs
     ds *= a
-    dqkv[:, CONTEXT:, :DIM] = ds @ k
-    dqkv[..., DIM : 2 * DIM] = ds.transpose(0, 2, 1) @ q
-    dqkv[..., 2 * DIM :] = a.transpose(0, 2, 1) @ dc
+    np.matmul(ds, k, out=dqkv[:, CONTEXT:, :DIM])
+    np.matmul(ds.transpose(0, 2, 1), q, out=dqkv[..., DIM : 2 * DIM])
+    np.matmul(a.transpose(0, 2, 1), dc, out=dqkv[..., 2 * DIM :])
     scale = e.dtype.type(DIM**-0.5)
     wide = _flat2(e).T @ _flat2(dqkv)
     grads["q"], grads["k"], grads["v"] = wide[:, :DIM] * scale, wide[:, DIM : 2 * DIM], wide[:, 2 * DIM :]
@@ -614,7 +615,7 @@ def base_scores(tokens: DataFrame, ends: int) -> tuple[DataFrame, int]:
     """
     same = Window.partitionBy("h1", "h2")
     words = tokens.filter("h1 IS NOT NULL").select("piece", "number", "h1", "h2", "c")
-    counted = words.select("piece", "number", F.sum("c").over(same).alias("c"), F.col("c").alias("own"), (F.row_number().over(same.orderBy("piece")) == 1).alias("first"))
+    counted = words.select("piece", "number", F.sum("c").over(same).alias("c"), F.col("c").alias("own"), (F.min("piece").over(same) == F.col("piece")).alias("first"))
     counted = scratch.table(counted, "lm-words")
     n_words, distinct = counted.agg(F.coalesce(F.sum("own"), F.lit(0)), F.count_if(F.col("first") & (F.col("c") > 0))).first()
     total = n_words + ends
