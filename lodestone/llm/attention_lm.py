@@ -72,8 +72,8 @@ ONES_WIDE = np.ones(WIDE, F32)
 def keep_pages() -> None:
     """Arrays up to 16 MB take the pages of freed ones, of which 64 MB are kept.
 
-    By glibc's defaults the arrays of each step give their pages back and fault new ones in: a quarter of a
-    gradient step's time and two fifths of scoring.
+    By glibc's defaults the arrays of each step may give their pages back and fault new ones in: in a process
+    of its own a quarter of a gradient step's time; a gain in Spark's workers was not found.
     """
     import ctypes
 
