@@ -29,7 +29,6 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from lodestone.llm import scratch
 
@@ -47,7 +46,7 @@ PAIRS = 1 << 16
 #: Counts that a neighbour's smoothing by the overall counts weighs.
 SMOOTH = 12.0
 #: Windows scored at once, and windows in a gradient step.
-BATCH = 512
+BATCH = 256
 STEP = 128
 #: Ids of texts that are held at once, one whole text at least.
 TOKENS = 400_000
@@ -55,6 +54,8 @@ TOKENS = 400_000
 ROOM = 4_000_000
 #: Distinct words after which a piece of documents ends; bounds a worker's table of words.
 PIECE = 500_000
+#: Parts of the words by their hash, at most 65,536; each part's words are summed in one task.
+BUCKETS = 1024
 #: Distinct documents and ids that the first model is fitted on at most, and its passes over them.
 WARM, WARM_IDS, WARM_PASSES = 1000, 300_000, 2
 #: The pass over all training documents takes one of SHARE of their windows: every one.
@@ -135,9 +136,13 @@ def init(seed: int = 7) -> dict[str, np.ndarray]:
 
 def pairs_of(x: np.ndarray) -> np.ndarray:
     """Row of the hashed embedding of each position's two last inputs."""
-    before = np.full_like(x, START)
-    before[:, 1:] = x[:, :-1]
-    return ((before.astype(np.int64) * 1_000_003 + x.astype(np.int64) * 7919) % PAIRS).astype(np.int32)
+    x = x.astype(np.uint32)  # wraps at a multiple of PAIRS, which is a power of two
+    rows = x * np.uint32(7919)
+    x *= np.uint32(1_000_003)
+    rows[:, 1:] += x[:, :-1]
+    rows[:, 0] += np.uint32(START * 1_000_003)
+    rows &= np.uint32(PAIRS - 1)
+    return rows.astype(np.intp)
 
 
 def _by_group(target: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -147,15 +152,13 @@ def _by_group(target: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, n
     return group, target - group * WIDE, order, np.searchsorted(group[order], np.arange(GROUPS + 1))
 
 
-def _attend(p: dict[str, np.ndarray], x: np.ndarray, pad: np.ndarray) -> tuple[np.ndarray, ...]:
-    """(inputs, queries, keys, values with a column of ones, weights before they are divided by their sums)."""
+def _attend(p: dict[str, np.ndarray], x: np.ndarray, pad: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(inputs, queries, keys, values, weights); rows: pairs_of(x)."""
     e = p["emb"].take(x, axis=0)
-    e += p["pair"].take(pairs_of(x), axis=0)
+    e += p["pair"].take(rows, axis=0)
     e += p["pos"]
     # one product for the whole batch, instead of three per window
-    qkv = _flat2(e) @ np.concatenate([p["q"] * p["q"].dtype.type(DIM**-0.5), p["k"], p["v"], np.zeros_like(p["v"][:, :1])], axis=1)
-    qkv[:, -1] = 1
-    qkv = qkv.reshape(*x.shape, -1)
+    qkv = (_flat2(e) @ np.concatenate([p["q"] * p["q"].dtype.type(DIM**-0.5), p["k"], p["v"]], axis=1)).reshape(*x.shape, -1)
     q, k, v = qkv[:, CONTEXT:, :DIM], qkv[..., DIM : 2 * DIM], qkv[..., 2 * DIM :]
     a = q @ k.transpose(0, 2, 1)
     _shift(a, CAUSAL)
@@ -164,13 +167,40 @@ def _attend(p: dict[str, np.ndarray], x: np.ndarray, pad: np.ndarray) -> tuple[n
     early = np.flatnonzero(pad[:, 0])  # a text's first windows alone reach before it
     if len(early):
         a[early] *= ~pad[early, None, :]
+    _divide(_flat2(a))
     return e, q, k, v, a
 
 
+def _divide(weights: np.ndarray, by: float = 1) -> None:
+    """Divides each row by its sum, and by a number."""
+    sums = weights @ np.ones(weights.shape[1], weights.dtype)
+    np.maximum(sums, F32(1e-30), out=sums)
+    np.divide(F32(1) / F32(by), sums, out=sums)
+    weights *= sums[:, None]
+
+
 def _flat2(t: np.ndarray) -> np.ndarray:
     return t.reshape(-1, t.shape[-1])
 
 
+def _product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """a.T @ b of long, narrow arrays, in parts that stay in cache."""
+    parts = 8 if len(a) % 8 == 0 else 1
+    return (a.reshape(parts, -1, a.shape[1]).transpose(0, 2, 1) @ b.reshape(parts, -1, b.shape[1])).sum(axis=0)
+
+
+def _places(use: np.ndarray) -> tuple[np.ndarray | slice, np.ndarray]:
+    """(positions of the windows' last STRIDE that are worked on, those of them that aren't used).
+
+    Where few aren't used, all are worked on in place rather than copied together.
+    """
+    use = use[:, CONTEXT:].ravel()
+    unused = np.flatnonzero(~use)
+    if len(unused) * 8 < len(use):
+        return slice(None), unused
+    return np.flatnonzero(use), unused[:0]
+
+
 def _row_sums(rows: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(distinct rows, sums of d over each, times of each)."""
     order = np.argsort(rows.astype(np.uint16), kind="stable")  # of at most PAIRS rows; 16 bits are sorted by digits
@@ -180,61 +210,73 @@ def _row_sums(rows: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     sums = d.take(order.take(first), axis=0)  # most rows are met once
     again = np.flatnonzero(times > 1)
     if len(again):
-        ends = np.cumsum(times.take(again))
-        inside = np.arange(ends[-1]) + np.repeat(first.take(again) - ends + times.take(again), times.take(again))
-        sums[again] = np.add.reduceat(d.take(order.take(inside), axis=0), ends - times.take(again), axis=0)
+        n = times.take(again)
+        ends = np.cumsum(n)
+        inside = np.arange(ends[-1]) + np.repeat(first.take(again) - ends + n, n)
+        sums[again] = _summed(np.repeat(np.arange(len(again)), n), d.take(order.take(inside), axis=0), len(again))
     return ranked[first], sums, times
 
 
+def _summed(rows: np.ndarray, d: np.ndarray, size: int) -> np.ndarray:
+    """Sums of d over each of size rows, 0 where there is none."""
+    width = d.shape[1]
+    out = np.zeros(size * width, d.dtype)
+    np.add.at(out, ((rows * width)[:, None] + np.arange(width)).ravel(), d.ravel())  # one-dimensional: its fast path
+    return out.reshape(size, width)
+
+
 def gradients(p: dict[str, np.ndarray], bias: tuple[np.ndarray, np.ndarray], x: np.ndarray, pad: np.ndarray, target: np.ndarray, use: np.ndarray) -> tuple[float, dict]:
     """(mean loss, gradient of it) over the positions `use` of the windows' last STRIDE.
 
     The gradients of SPARSE parameters are (rows, sums, times); x: windows of input slots, pad: True for
     positions before the text.
     """
-    e, q, k, v, a = _attend(p, x, pad)
+    hashed = pairs_of(x)
+    e, q, k, v, a = _attend(p, x, pad, hashed)
     c = a @ v
-    sums = np.maximum(c[..., DIM:], F32(1e-30))
-    a /= sums
-    c, v = c[..., :DIM] / sums, v[..., :DIM]
-    own = np.flatnonzero(use[:, CONTEXT:])
-    late = np.ascontiguousarray(e[:, CONTEXT:])
-    mine, mixed = _flat2(late).take(own, axis=0), _flat2(c).take(own, axis=0)
-    h0 = np.concatenate([mine, mixed @ p["o"]], axis=1)
-    z = h0 @ p["f1"]
-    z += p["b1"]
+    own, unused = _places(use)
+    mine, mixed = _flat2(e[:, CONTEXT:])[own], _flat2(c)[own]
+    n = len(mine)
+    used = max(1, n - len(unused))
+    # the last column is for the bias
+    h0 = np.ones((n, 2 * DIM + 1), e.dtype)
+    h0[:, :DIM] = mine
+    np.matmul(mixed, p["o"], out=h0[:, DIM : 2 * DIM])
+    z = h0 @ np.concatenate([p["f1"], p["b1"][None]])
     r = np.maximum(z, 0)
     h = r @ p["f2"]
     h += mine
-    goal, before = target[:, CONTEXT:].ravel().take(own), x[:, CONTEXT:].ravel().take(own)
-    n = len(goal)
+    goal, before = target[:, CONTEXT:].flatten()[own], x[:, CONTEXT:].ravel()[own]
+    goal[unused] = 0
     group, within, order, cuts = _by_group(goal)
     logits = h @ p["g"]
     logits += bias[0].take(before, axis=0)
-    loss = _residuals(logits, group)
-    grads: dict = {"g": h.T @ logits, "w": np.zeros_like(p["w"])}
+    loss = _residuals(logits, group, unused, used)
+    grads: dict = {"g": _product(h, logits), "w": np.zeros_like(p["w"])}
     dh = logits @ p["g"].T
     ranked, logits = h.take(order, axis=0), bias[1].reshape(-1, WIDE).take((before * GROUPS + group).take(order), axis=0)
-    spans = [(g, cuts[g], cuts[g + 1]) for g in range(GROUPS) if cuts[g] < cuts[g + 1]]
+    spans = [(g, slice(i, j)) for g, (i, j) in enumerate(zip(cuts.tolist(), cuts[1:].tolist())) if i < j]
     logits = logits.astype(h.dtype, copy=False)
     inner = np.empty_like(logits)
-    for g, i, j in spans:
-        np.dot(ranked[i:j], p["w"][g], out=inner[i:j])
+    for g, s in spans:
+        np.dot(ranked[s], p["w"][g], out=inner[s])
     logits += inner
-    loss += _residuals(logits, within.take(order))
-    back = np.empty_like(ranked)
-    for g, i, j in spans:
-        np.dot(ranked[i:j].T, logits[i:j], out=grads["w"][g])
-        np.dot(logits[i:j], p["w"][g].T, out=back[i:j])
     at = np.empty_like(order)
     at[order] = np.arange(n)
+    loss += _residuals(logits, within.take(order), at.take(unused), used)
+    back = np.empty_like(ranked)
+    for g, s in spans:
+        own_logits = logits[s]
+        np.dot(ranked[s].T, own_logits, out=grads["w"][g])
+        np.dot(own_logits, p["w"][g].T, out=back[s])
     dh += back.take(at, axis=0)
-    grads["f2"] = r.T @ dh
+    grads["f2"] = _product(r, dh)
     dz = dh @ p["f2"].T
     dz *= z > 0
-    grads["f1"], grads["b1"] = h0.T @ dz, dz.sum(axis=0)
+    wide = _product(h0, dz)
+    grads["f1"], grads["b1"] = wide[:-1], wide[-1]
     dh0 = dz @ p["f1"].T
-    grads["o"] = mixed.T @ dh0[:, DIM:]
+    grads["o"] = _product(mixed, np.ascontiguousarray(dh0[:, DIM:]))
     dh += dh0[:, :DIM]
     dc = np.zeros_like(c)
     _flat2(dc)[own] = dh0[:, DIM:] @ p["o"].T
@@ -247,29 +289,35 @@ def gradients(p: dict[str, np.ndarray], bias: tuple[np.ndarray, np.ndarray], x:
     np.matmul(ds.transpose(0, 2, 1), q, out=dqkv[..., DIM : 2 * DIM])
     np.matmul(a.transpose(0, 2, 1), dc, out=dqkv[..., 2 * DIM :])
     scale = e.dtype.type(DIM**-0.5)
-    wide = _flat2(e).T @ _flat2(dqkv)
+    wide = _product(_flat2(e), _flat2(dqkv))
     grads["q"], grads["k"], grads["v"] = wide[:, :DIM] * scale, wide[:, DIM : 2 * DIM], wide[:, 2 * DIM :]
-    de = _flat2(dqkv) @ np.concatenate([p["q"] * scale, p["k"], p["v"]], axis=1).T
-    places = np.flatnonzero(use)
-    de[places] += dh
-    grads["pos"] = de.reshape(e.shape).sum(axis=0)
-    mean = F32(1 / max(1, n))
-    grads = {name: g * mean for name, g in grads.items()}
-    for name, index in (("emb", x), ("pair", pairs_of(x))):
-        found, sums, times = _row_sums(index.ravel(), de)
-        grads[name] = (found, sums * mean, times)
-    return loss / max(1, n), grads
-
-
-def _residuals(logits: np.ndarray, goal: np.ndarray) -> float:
-    """Turns logits into probabilities less one at the goal, in place; returns the loss."""
+    de = (_flat2(dqkv) @ np.concatenate([p["q"] * scale, p["k"], p["v"]], axis=1).T).reshape(e.shape)
+    if isinstance(own, slice):
+        de[:, CONTEXT:] += dh.reshape(-1, STRIDE, DIM)
+    else:
+        _flat2(de)[np.flatnonzero(use)] += dh
+    grads["pos"] = (np.ones(len(x), e.dtype) @ de.reshape(len(x), -1)).reshape(SPAN, DIM)
+    de = _flat2(de)
+    # all rows of the smaller one, in place
+    grads["emb"] = slice(None), _summed(x.ravel(), de, len(p["emb"])), None
+    grads["pair"] = _row_sums(hashed.ravel(), de)
+    return loss / used, grads
+
+
+def _residuals(logits: np.ndarray, goal: np.ndarray, unused: np.ndarray, used: int) -> float:
+    """Turns logits into probabilities less one at the goal, over used, in place; returns the loss.
+
+    unused: rows that don't count.
+    """
     _shift(logits)
     np.exp(logits, out=logits)
-    logits /= np.maximum(logits @ np.ones((logits.shape[1], 1), logits.dtype), F32(1e-30))
+    _divide(logits, used)
     flat, cells = logits.ravel(), np.arange(0, logits.size, logits.shape[1]) + goal
     own = flat.take(cells)
-    flat[cells] = own - 1
-    return -float(np.log(own + 1e-30).sum())
+    mean = F32(1 / used)
+    flat[cells] = own - mean
+    logits[unused], own[unused] = 0, mean
+    return -float(np.log(own * F32(used) + F32(1e-30)).sum())
 
 
 class Trainer:
@@ -280,7 +328,7 @@ class Trainer:
         # the dense parameters' moments in one line
         self.dense = [n for n in p if n not in SPARSE]
         self.m, self.v = np.zeros((2, sum(p[n].size for n in self.dense)), F32)
-        self.squares = {n: np.full((len(p[n]), 1), 1e-8, F32) for n in SPARSE}
+        self.squares = {n: np.full(len(p[n]), 1e-8, F32) for n in SPARSE}
         self.touched = np.zeros(PAIRS, F32)
 
     def step(self, batch: tuple, part: float) -> None:
@@ -309,30 +357,31 @@ class Trainer:
             at += a.size
         for n in SPARSE:
             rows, d, times = grads[n]
-            square = self.squares[n]
-            now = square.take(rows, axis=0)
-            now[:, 0] += np.einsum("ij,ij->i", d, d) * F32(1 / DIM)
-            square[rows] = now
-            d *= F32(SPARSE_RATE * fall) / np.sqrt(now)
-            np.subtract(self.p[n].take(rows, axis=0), d, out=d)
-            self.p[n][rows] = d
-            if n == "pair":
+            now = self.squares[n][rows]
+            now += (d * d) @ np.full(DIM, 1 / DIM, F32)
+            self.squares[n][rows] = now
+            d *= (F32(SPARSE_RATE * fall) / np.sqrt(now))[:, None]
+            if times is None:
+                self.p[n] -= d
+            else:
+                np.subtract(self.p[n].take(rows, axis=0), d, out=d)
+                whole = f"V{d[0].nbytes}"  # a row as one item is written faster
+                self.p[n].view(whole)[rows] = d.view(whole)
                 self.touched[rows] += times
 
 
 def score_windows(p: dict[str, np.ndarray], bias: tuple[np.ndarray, np.ndarray], x: np.ndarray, pad: np.ndarray, target: np.ndarray, use: np.ndarray) -> np.ndarray:
     """Natural log of the probability of the targets at the positions `use` of the windows' last STRIDE."""
-    e, _, _, v, a = _attend(p, x, pad)
-    c = a @ v
-    own = np.flatnonzero(use[:, CONTEXT:])
-    late, c = _flat2(e[:, CONTEXT:]).take(own, axis=0), _flat2(c).take(own, axis=0)
-    c = c[:, :DIM] / np.maximum(c[:, DIM:], F32(1e-30))
+    e, _, _, v, a = _attend(p, x, pad, pairs_of(x))
+    own, unused = _places(use)
+    late, c = _flat2(e[:, CONTEXT:])[own], _flat2(a @ v)[own]
     z = late @ p["f1"][:DIM]
     z += c @ (p["o"] @ p["f1"][DIM:])
     z += p["b1"]
     h = np.maximum(z, 0, out=z) @ p["f2"]
     h += late
-    goal, before = target[:, CONTEXT:].ravel().take(own), x[:, CONTEXT:].ravel().take(own)
+    goal, before = target[:, CONTEXT:].flatten()[own], x[:, CONTEXT:].ravel()[own]
+    goal[unused] = 0
     group, within, order, cuts = _by_group(goal)
     rows = np.arange(len(goal))
     logits = h @ p["g"]
@@ -352,7 +401,7 @@ def score_windows(p: dict[str, np.ndarray], bias: tuple[np.ndarray, np.ndarray],
     inner = logits.ravel().take(rows * WIDE + within)
     np.exp(logits, out=logits)
     out[order] += inner - np.log(logits @ ONES_WIDE)
-    return out
+    return out[use[:, CONTEXT:].ravel()] if len(unused) else out
 
 
 def _shift(x: np.ndarray, seen: np.ndarray | None = None) -> None:
@@ -368,9 +417,14 @@ class Windows:
 
     def __init__(self, slots: list[np.ndarray]):
         self.lengths = np.fromiter(map(len, slots), np.int64, len(slots))
-        self.whole = np.concatenate(slots) if len(slots) else np.zeros(0, np.int32)
-        self.begins = np.cumsum(self.lengths) - self.lengths
-        self.ends = np.cumsum(-(-self.lengths // STRIDE))  # windows up to and with each text
+        windows = -(-self.lengths // STRIDE)
+        self.ends = np.cumsum(windows)  # windows up to and with each text
+        self.begins = self.ends - windows
+        # one line of all inputs: CONTEXT + 1 places before each text, whose windows are whole
+        self.line = np.full(len(self) * STRIDE + len(slots) * (CONTEXT + 1), START, np.int32)
+        for t, (s, at) in enumerate(zip(slots, (self.begins * STRIDE).tolist())):
+            at += (t + 1) * (CONTEXT + 1)
+            self.line[at : at + len(s)] = s
 
     def __len__(self) -> int:
         return int(self.ends[-1]) if len(self.ends) else 0
@@ -378,15 +432,12 @@ class Windows:
     def take(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(inputs, padding, targets, scored, text) of the windows of these numbers."""
         text = np.searchsorted(self.ends, numbers, side="right")
-        number = numbers - np.where(text > 0, self.ends[text - 1], 0)
-        at = ((number * STRIDE)[:, None] + np.arange(-CONTEXT, STRIDE)).astype(np.int32)  # index of the target of each position
-        # places in the line of all texts, which holds TOKENS ids or one text
-        n, base = self.lengths[text].astype(np.int32)[:, None], self.begins[text].astype(np.int32 if len(self.whole) < 1 << 31 else np.int64)[:, None]
-        inside = (at >= 0) & (at < n)
-        target = self.whole.take(np.where(inside, base + at, 0))
-        x = np.where((at >= 1) & (at <= n), self.whole.take(np.clip(base + at - 1, 0, len(self.whole) - 1)), np.int32(START))
-        inside[:, :CONTEXT] = False
-        return x, at < 0, target, inside, text
+        number = numbers - self.begins.take(text)
+        rows = np.lib.stride_tricks.sliding_window_view(self.line, SPAN + 1)[numbers * STRIDE + text * (CONTEXT + 1)]
+        pad, use = np.zeros((2, len(numbers), SPAN), bool)
+        pad[:, :CONTEXT] = (number == 0)[:, None]
+        use[:, CONTEXT:] = np.arange(STRIDE) < (self.lengths.take(text) - number * STRIDE)[:, None]
+        return rows[:, :-1], pad, rows[:, 1:], use, text
 
 
 class Scorer:
@@ -448,8 +499,9 @@ def tokenized(docs: DataFrame, tokenizer_path: str) -> DataFrame:
     """Written table of three kinds of rows, after one pass over the texts.
 
     Documents: piece, at, doc_id, held, learn, ids (16 bits each, without the end), words (32-bit numbers in the
-    piece's list of words).  Words of a piece: piece, number, the 128 bits h1, h2 of the word's XXH3, c: times
-    in the piece's training documents.  Ids of a piece: id, c.  A hot word has a row per piece, not per document.
+    piece's list of words).  Words of a piece, by their hash's remainder modulo BUCKETS: piece, bucket, and packed
+    words after words the 128 bits of XXH3 in hashes, the numbers, and in times how often the piece's training
+    documents hold the word.  Ids of a piece: id, c.  A hot word comes once per piece, not per document.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -468,10 +520,17 @@ def tokenized(docs: DataFrame, tokenizer_path: str) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(values[f.name], f.type) if f.name in values else pa.nulls(n, f.type) for f in ARROW], schema=ARROW)
 
         def words() -> Iterator[pa.RecordBatch]:
+            hashes = np.empty((len(bpe.words), 2), np.int64)
             for i in range(0, len(bpe.words), 100_000):
                 part = bpe.words.slice(i, 100_000).to_pylist()
-                h = np.frombuffer(b"".join(xxhash.xxh3_128_digest(word[1:]) for word in part), np.int64).reshape(-1, 2)
-                yield table(len(part), number=np.arange(i, i + len(part)), h1=h[:, 0], h2=h[:, 1], c=times[i : i + len(part)])
+                hashes[i : i + len(part)] = np.frombuffer(b"".join(xxhash.xxh3_128_digest(word[1:]) for word in part), np.int64).reshape(-1, 2)
+            bucket = (hashes[:, 0] & (BUCKETS - 1)).astype(np.uint16)
+            order = np.argsort(bucket, kind="stable")
+            own, first = np.unique(bucket[order], return_index=True)
+            where = np.append(first, len(order)).astype(np.int64)
+            for i in range(0, len(own), 64):
+                at, part = where[i : i + 65], order[where[i] : where[min(i + 64, len(own))]]
+                yield table(len(at) - 1, bucket=own[i : i + 64].astype(np.int32), hashes=_cut(hashes[part].view("V16").ravel(), at - at[0]), numbers=_cut(part.astype(np.int32), at - at[0]), times=_cut(times[part], at - at[0]))
             found = np.flatnonzero(ids)
             yield table(len(found), id=found, c=ids[found])
 
@@ -502,8 +561,8 @@ def tokenized(docs: DataFrame, tokenizer_path: str) -> DataFrame:
     return scratch.table(docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(run, TOKENIZED), "lm-tokens", compression="zstd")
 
 
-TOKENIZED = "piece long, at int, doc_id long, held boolean, learn boolean, ids binary, words binary, number int, h1 long, h2 long, id int, c long"
-ARROW = pa.schema([("piece", pa.int64()), ("at", pa.int32()), ("doc_id", pa.int64()), ("held", pa.bool_()), ("learn", pa.bool_()), ("ids", pa.binary()), ("words", pa.binary()), ("number", pa.int32()), ("h1", pa.int64()), ("h2", pa.int64()), ("id", pa.int32()), ("c", pa.int64())])
+TOKENIZED = "piece long, at int, doc_id long, held boolean, learn boolean, ids binary, words binary, bucket int, hashes binary, numbers binary, times binary, id int, c long"
+ARROW = pa.schema([("piece", pa.int64()), ("at", pa.int32()), ("doc_id", pa.int64()), ("held", pa.bool_()), ("learn", pa.bool_()), ("ids", pa.binary()), ("words", pa.binary()), ("bucket", pa.int32()), ("hashes", pa.binary()), ("numbers", pa.binary()), ("times", pa.binary()), ("id", pa.int32()), ("c", pa.int64())])
 
 
 def _ids(raw: bytes, size: int) -> np.ndarray:
@@ -607,23 +666,38 @@ def train(learn: DataFrame, params: dict[str, np.ndarray], bias: tuple[np.ndarra
     return out
 
 
+def _sum_words(rows: pd.DataFrame) -> pd.DataFrame:
+    """Rows of a bucket with the words' counts over all pieces as times; n: of the row's own, kinds: distinct words met."""
+    own = [np.frombuffer(t, np.int64) for t in rows["times"]]
+    h, c = np.frombuffer(b"".join(rows["hashes"]), np.int64).reshape(-1, 2), np.concatenate(own)
+    order = np.lexsort((h[:, 1], h[:, 0]))
+    ranked = h[order]
+    new = np.append(True, (ranked[1:] != ranked[:-1]).any(axis=1))
+    sums = np.add.reduceat(c[order], np.flatnonzero(new))
+    counts = np.empty_like(c)
+    counts[order] = sums[np.cumsum(new) - 1]
+    cuts = np.cumsum([0, *map(len, own)])
+    kinds = np.zeros(len(rows), np.int64)
+    kinds[0] = (sums > 0).sum()
+    return pd.DataFrame({"piece": rows["piece"], "numbers": rows["numbers"], "times": [counts[i:j].tobytes() for i, j in zip(cuts, cuts[1:])], "n": [int(t.sum()) for t in own], "kinds": kinds})
+
+
 def base_scores(tokens: DataFrame, ends: int) -> tuple[DataFrame, int]:
     """((piece, at, n_tokens, n_known, base_score) of every document, number of training tokens).
 
-    A word's count is summed over its rows, one per piece at most, and goes back to each piece, where
-    documents look their words up by number.
+    A word's count is summed in its bucket, where it comes once per piece at most, and goes back to each piece,
+    where documents look their words up by number.
     """
-    same = Window.partitionBy("h1", "h2")
-    words = tokens.filter("h1 IS NOT NULL").select("piece", "number", "h1", "h2", "c")
-    counted = words.select("piece", "number", F.sum("c").over(same).alias("c"), F.col("c").alias("own"), (F.min("piece").over(same) == F.col("piece")).alias("first"))
-    counted = scratch.table(counted, "lm-words")
-    n_words, distinct = counted.agg(F.coalesce(F.sum("own"), F.lit(0)), F.count_if(F.col("first") & (F.col("c") > 0))).first()
+    words = tokens.filter("bucket IS NOT NULL").select("piece", "bucket", "hashes", "numbers", "times")
+    counted = scratch.table(words.groupBy("bucket").applyInPandas(_sum_words, "piece long, numbers binary, times binary, n long, kinds long"), "lm-words")
+    n_words, distinct = counted.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("kinds"), F.lit(0))).first()
     total = n_words + ends
     size = total + distinct + (ends > 0) + 1
 
     def look_up(words: pd.DataFrame, docs: pd.DataFrame) -> pd.DataFrame:
-        c = np.zeros(len(words), np.int64)
-        c[words["number"].to_numpy(np.int64)] = words["c"].to_numpy(np.int64)
+        numbers = np.frombuffer(b"".join(words["numbers"]), np.int32)
+        c = np.zeros(len(numbers), np.int64)
+        c[numbers] = np.frombuffer(b"".join(words["times"]), np.int64)
         log = np.log10((c + 1) / size)
         out = []
         for at, raw in zip(docs["at"], docs["words"]):
@@ -633,7 +707,7 @@ def base_scores(tokens: DataFrame, ends: int) -> tuple[DataFrame, int]:
         return frame.assign(piece=docs["piece"].iloc[0] if len(docs) else 0)[["piece", "at", "n_tokens", "n_known", "base_score"]]
 
     docs = tokens.filter("words IS NOT NULL").select("piece", "at", "words")
-    got = counted.select("piece", "number", "c").groupBy("piece").cogroup(docs.groupBy("piece")).applyInPandas(look_up, "piece long, at int, n_tokens long, n_known long, base_score double")
+    got = counted.select("piece", "numbers", "times").groupBy("piece").cogroup(docs.groupBy("piece")).applyInPandas(look_up, "piece long, at int, n_tokens long, n_known long, base_score double")
     return got, total
 
 

@@ -153,6 +153,20 @@ def test_gradients():
         assert (up - down) / 2e-5 == pytest.approx(g[at], rel=2e-2, abs=1e-5), name
 
 
+def test_gradients_are_the_same_in_place_and_copied_together(monkeypatch):
+    _, p, bias, r = small()
+    windows = lm.Windows([r.integers(0, 50, n).astype(np.int32) for n in (300, 5, 90, 1)])
+    batch = windows.take(np.arange(len(windows)))[:4]
+    use = batch[3][:, lm.CONTEXT :].ravel()
+    got = []
+    for own in ((slice(None), np.flatnonzero(~use)), (np.flatnonzero(use), np.zeros(0, int))):
+        monkeypatch.setattr(lm, "_places", lambda use, own=own: own)
+        got.append(lm.gradients(p, bias, *batch))
+        got[-1] = [got[-1][0], lm.score_windows(p, bias, *batch), *(g[1] if n in lm.SPARSE else g for n, g in got[-1][1].items())]
+    for a, b in zip(*got):
+        np.testing.assert_allclose(a, b, rtol=1e-4, atol=1e-6)
+
+
 def test_one_pass_in_chunks(monkeypatch):
     _, p, bias, r = small()
     monkeypatch.setattr(lm, "TOKENS", 100)
@@ -210,6 +224,16 @@ def test_counts(spark, docs, rows, empty, piece, monkeypatch):
         assert r["base_score"] == pytest.approx(sum(np.log10((counts[x] + 1) / (n + kinds + 1)) for x in w))
 
 
+def test_words_travel_packed(docs, rows, monkeypatch):
+    monkeypatch.setattr(lm, "BUCKETS", 8)
+    tokens = lm.tokenized(docs, BPE)
+    words = tokens.filter("ids IS NULL AND id IS NULL").collect()
+    assert len(words) <= 8 * docs.rdd.getNumPartitions()  # one row per word before
+    assert len({r["hashes"][i : i + 16] for r in words for i in range(0, len(r["hashes"]), 16)}) == len({w for _, t, *_ in rows for w in lower_ascii(t).split()})
+    learn = [i is not None and not lm.held_out(i) for i, *_ in rows]
+    assert sum(np.frombuffer(r["times"], np.int64).sum() for r in words) == sum(len(lower_ascii(t).split()) for (_, t, *_), l in zip(rows, learn) if l)
+
+
 def test_score(docs, rows, empty):
     got = lm.score(docs, BPE).collect()
     assert sorted(str(r["doc_id"]) for r in got) == sorted(str(r[0]) for r in rows)
