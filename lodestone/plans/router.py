@@ -19,12 +19,14 @@ CLASSES: dict[str, tuple[str, int, int, str]] = {
     "direct_lookup": (r"\b(calls|callees?|uses|defines?|where)\b", 1, 80, "out"),
 }
 FALLBACK = ("unknown", 2, 120, "both")
+#: Java's own \b takes letters beyond ASCII for parts of words, so that "testö" would hold no "test"; SQL's is of ASCII.
+EDGE_OF_WORD = r"(?:(?<=\w)(?!\w)|(?<!\w)(?=\w))"
 
 
 def bulk(df: DataFrame, column: str) -> DataFrame:
     """Adds the query class of a text column: the most signals win, earlier classes on ties."""
-    text = F.lower(F.coalesce(F.col(column), F.lit("")))
-    scores = [F.struct(F.least(F.size(F.regexp_extract_all(text, F.lit(s), F.lit(0))), F.lit(3)).alias("s"), F.lit(-i).alias("i"), F.lit(c).alias("c")) for i, (c, (s, *_)) in enumerate(CLASSES.items())]
+    text = F.lower(F.translate(F.coalesce(F.col(column), F.lit("")), "İ", "I"))  # SQL lowers it to one letter
+    scores = [F.struct(F.least(F.size(F.regexp_extract_all(text, F.lit(s.replace(r"\b", EDGE_OF_WORD)), F.lit(0))), F.lit(3)).alias("s"), F.lit(-i).alias("i"), F.lit(c).alias("c")) for i, (c, (s, *_)) in enumerate(CLASSES.items())]
     best: Column = F.greatest(*scores)
     return df.withColumn("route", F.when(best["s"] > 0, best["c"]).otherwise(FALLBACK[0]))
 
@@ -41,8 +43,8 @@ class Plan:
 
 def compile_query(text: str) -> Plan:
     """A read-only plan of a question."""
-    low = (text or "").lower()
-    hits = {c: min(3, len(re.findall(s, low))) for c, (s, *_) in CLASSES.items()}
+    low = (text or "").replace("İ", "I").lower()
+    hits = {c: min(3, len(re.findall(s, low, re.ASCII))) for c, (s, *_) in CLASSES.items()}
     chosen = max(hits, key=hits.get)
     name, hops, budget, direction = (chosen, *CLASSES[chosen][1:]) if hits[chosen] else FALLBACK
     target = re.search(r"[`'\"]([^`'\"]+)[`'\"]", text or "")

@@ -93,6 +93,13 @@ def test_router_and_engine(g, spark):
     assert [r["route"] for r in df.collect()] == ["blast_radius", "unknown"]
 
 
+def test_words_of_a_route_end_at_letters_beyond_ascii(spark):
+    asked = ["der testö enung", "éimpact", "İmpact", "attests", "ein_test", "pathé between"]
+    want = ["affected_tests", "blast_radius", "blast_radius", "unknown", "unknown", "multi_hop_path"]
+    assert [r["route"] for r in router.bulk(spark.createDataFrame([(a,) for a in asked], "t string"), "t").collect()] == want
+    assert [router.compile_query(a).query_class for a in asked] == want
+
+
 def test_edge_list_and_guard(spark, tmp_path):
     (tmp_path / "e.csv").write_text("source,target,type,weight\na,b,calls,2\na,b,calls,3\nb,c,,x\n")
     got = formats.edge_list(spark, str(tmp_path / "e.csv"))
