@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.operators.relational import dedupe, first_per
+from lodestone.sources.scratch import spread
 from lodestone.sources.tables import EDGE, Graph
 
 OPERATIONS = "seq long, op string, subject string, detail string"
@@ -21,7 +22,8 @@ def add_nodes(g: Graph, nodes: DataFrame) -> Graph:
 
 def add_edges(g: Graph, edges: DataFrame) -> Graph:
     """Inserts edges whose source, target and type are not there; the first of several wins."""
-    fresh = dedupe(edges).join(g.edges.select("source", "target", "type"), ["source", "target", "type"], "left_anti")
+    key = ["source", "target", "type"]
+    fresh = dedupe(edges).join(spread(g.edges.select(*key), *key), key, "left_anti")
     return Graph(g.nodes, g.edges.select(*EDGE).unionByName(fresh.select(*EDGE)))
 
 
@@ -35,7 +37,8 @@ def union(a: Graph, b: Graph) -> Graph:
     """Both graphs: of a node in both the first wins, edges are deduplicated by source, target and type."""
     tag = lambda df, i: df.withColumn("_side", F.lit(i))
     nodes = first_per(tag(a.nodes, 0).unionByName(tag(b.nodes, 1)), ["id"], "_side", "ord").drop("_side")
-    edges = first_per(tag(a.edges.select(*EDGE), 0).unionByName(tag(b.edges.select(*EDGE), 1)), ["source", "target", "type"], "_side", "ord").drop("_side")
+    key = ["source", "target", "type"]
+    edges = first_per(spread(tag(a.edges.select(*EDGE), 0).unionByName(tag(b.edges.select(*EDGE), 1)), *key), key, "_side", "ord").drop("_side")
     return Graph(nodes, edges)
 
 
