@@ -55,6 +55,14 @@ def test_edges_are_not_sorted_before_a_shuffle_or_for_a_join_to_nodes(spark):
         assert "Sort " not in below and "SortMergeJoin" not in plan(df)
 
 
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
+def test_a_join_to_nodes_shuffles_edges_once(spark, monkeypatch):
+    monkeypatch.setattr(scratch, "PART_BYTES", 10_000)
+    g = tables.graph(spark, SF)
+    for df, most in ((relational.caller_counts(g), 3), (g.live_edges(), 4)):  # edges, nodes and counts; edges and nodes for either end
+        assert plan(df).count("Exchange hashpartitioning") <= most and "LeftSemi" not in plan(df)
+
+
 def odd(spark, seed, n=60, m=150):
     r = random.Random(seed)
     names = [f"n{i}" for i in range(n)]
